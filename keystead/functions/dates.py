@@ -75,7 +75,8 @@ def age_whole_years(text: Column | str, as_of: Column, built: Column | None = No
     stated = extract(t, "築([0-9]+)年", 1).try_cast("int")
     if built is not None:
         year = F.coalesce(F.year(built), year)
-    return F.coalesce(F.greatest(F.lit(0), this_year - year), stated, F.lit(UNKNOWN_AGE))
+    known = F.when(year.isNotNull(), F.greatest(F.lit(0), this_year - year))  # greatest skips NULL
+    return F.coalesce(known, stated, F.lit(UNKNOWN_AGE))
 
 
 def is_old_quake_code(built: Column | str) -> Column:
