@@ -78,7 +78,8 @@ def missing_value_sample(df: DataFrame, field: str, by: list[str], key: str, n:
 
 def random_sample(df: DataFrame, by: list[str], key: str, n: int = 10, seed: int = 42) -> DataFrame:
     """Up to ten rows per group in a repeatable random order."""
-    return sample_per_group(df, by, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], n)
+    mixed = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    return sample_per_group(df, by, [mixed, F.col(key)], n)
 
 
 def recover_source(df: DataFrame, codes: list[str] | None = None) -> DataFrame:

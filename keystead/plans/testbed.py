@@ -247,6 +247,54 @@ select event_id, cast(ts as timestamp) as ts, user_id,
 from events
 """
 
+# the first route by a short pattern, good and bad values alike
+STRICT_SQL = """
+select listing_id, property_type, property_name, price_yen, address, address1,
+  case when listing_id % 67 = 3 then '' else address2 end as address2,
+  regexp_extract(traffic, '^([^「『 　/]*)', 1) as railway1,
+  regexp_extract(traffic, '([^ 　]+)駅', 1) as station1,
+  try_cast(regexp_extract(traffic, '徒歩([0-9]+)分', 1) as int) as walk_min1,
+  senyu_menseki, tochi_menseki, built_text
+from listing
+"""
+
+SITED_SQL = """
+select *, regexp_extract(traffic, '([^ 　『「・、/]+)』?駅', 1) as station1,
+  try_cast(regexp_extract(traffic, '徒歩([0-9]+)分', 1) as int) as walk_min1
+from listing
+"""
+
+RATIO_ROWS_SQL = """
+select listing_id, case when listing_id % 7 = 1 then '' else ratio_text end as kenpei_text, youseki_text,
+  case when listing_id % 3 = 0 then 55e0 end as kenpei, case when listing_id % 2 = 0 then 210e0 end as youseki
+from listing
+"""
+
+ROUTE_ROWS_SQL = """
+select listing_id, traffic, case when listing_id % 3 = 0 then '既存線' end as railway1,
+  '既存' as station1, cast(99 as int) as walk_min1
+from listing
+"""
+
+CODED_SQL = f"""
+select eval_id, case when eval_id % 2 = 0 then 'unknown' else company end as company,
+  {pick("eval_id % 6", ["mitsui", "sumai1", "Sumifu", "other", "keio", "homes"])} || property_type as property_type
+from evaluation
+"""
+
+# every listing and a later copy of it: other price and area within tolerance,
+# kanji digits in the address, and for every third copy a room number added
+COPIES_SQL = """
+select 2 * listing_id as eval_id, url, property_type, address, senyu_menseki, tatemono_menseki,
+  price_yen, built, built_text from listing
+union all
+select 2 * (listing_id + 37) + 1 as eval_id, url || 'copy' as url, property_type,
+  translate(address, '123456789', '一二三四五六七八九') || case when listing_id % 3 = 0 and address <> '' then '１０１' else '' end as address,
+  senyu_menseki * 1.002e0 as senyu_menseki, tatemono_menseki * (case when listing_id % 5 = 0 then 1.02e0 else 1.004e0 end) as tatemono_menseki,
+  cast(floor(price_yen * (case when listing_id % 4 = 1 then 1.05e0 else 1.005e0 end)) as bigint) as price_yen,
+  built, built_text from listing
+"""
+
 # every view with the views and tables it stands on
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "place": (PLACE_SQL, ["nation"]),
@@ -261,6 +309,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "trade": (TRADE_SQL, ["lineitem", "supplier", "place"]),
     "land": (LAND_SQL, ["place"]),
     "crawl": (CRAWL_SQL, ["events"]),
+    "strict": (STRICT_SQL, ["listing"]),
+    "sited": (SITED_SQL, ["listing"]),
+    "ratio_rows": (RATIO_ROWS_SQL, ["listing"]),
+    "route_rows": (ROUTE_ROWS_SQL, ["listing"]),
+    "coded": (CODED_SQL, ["evaluation"]),
+    "copies": (COPIES_SQL, ["listing"]),
 }
 
 

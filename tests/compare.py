@@ -45,6 +45,18 @@ def plain(v):
     return v
 
 
+def kind(name: str) -> str:
+    """Type family of a Spark or DuckDB type name; results must agree on it."""
+    n = name.lower()
+    if n in ("tinyint", "smallint", "int", "integer", "bigint"):
+        return "int"
+    if n in ("double", "float"):
+        return "float"
+    if n in ("string", "varchar"):
+        return "string"
+    return n.split("(")[0]
+
+
 def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
@@ -52,7 +64,7 @@ def _key(row):
 def spark_rows(df):
     names = sorted(df.columns)
     rows = [tuple(plain(r[n]) for n in names) for r in df.collect()]
-    return names, sorted(rows, key=_key)
+    return [(n, kind(dict(df.dtypes)[n])) for n in names], sorted(rows, key=_key)
 
 
 def duck_rows(con, sql):
@@ -60,13 +72,13 @@ def duck_rows(con, sql):
     cols = [d[0] for d in con.description]
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     rows = [tuple(plain(r[i]) for i in order) for r in con.fetchall()]
-    return [cols[i] for i in order], sorted(rows, key=_key)
+    return [(cols[i], kind(str(con.description[i][1]))) for i in order], sorted(rows, key=_key)
 
 
 def difference(spark_result, duck_result) -> str | None:
     (a_names, a), (b_names, b) = spark_result, duck_result
     if a_names != b_names:
-        return f"columns {a_names} vs {b_names}"
+        return f"columns {sorted(set(a_names) - set(b_names))} vs {sorted(set(b_names) - set(a_names))}"
     if len(a) != len(b):
         only_a = sorted(set(a) - set(b), key=_key)[:3]
         only_b = sorted(set(b) - set(a), key=_key)[:3]
