@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,16 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def doubles(sql: str) -> str:
+    """Number literals with a point as doubles, outside of quoted text.
+
+    The jobs compute in doubles; DuckDB would take such literals for decimals.
+    """
+    parts = sql.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", p) for p in parts[::2]]
+    return "'".join(parts)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; without SQL it is checked by tests and row count only."""
 
@@ -20,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = doubles(sql)
         return fn
 
     return add
