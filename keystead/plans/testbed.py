@@ -295,6 +295,34 @@ select 2 * (listing_id + 37) + 1 as eval_id, url || 'copy' as url, property_type
   built, built_text from listing
 """
 
+# a stored page per listing, with every shape of label and link
+PAGE_SQL = """
+select listing_id as page_id, company as site, property_type, url,
+  '<!DOCTYPE html><html><head><title>' || (case when listing_id % 17 = 3 then '掲載終了物件' when listing_id % 17 = 5 then 'サーバーが混み合っています'
+    else coalesce(property_name, '') || ' | 詳細' end) || '</title><link rel="canonical" href="https://ex.example/list/' || property_type
+  || (case listing_id % 4 when 0 then '?page=' || cast(listing_id % 30 as string) || '&amp;sort=new' when 1 then '' when 2 then '?sort=old&amp;page=x' else '?area=13#top' end) || '"></head><body>'
+  || '<!-- <a href="/mansion/1/">x</a> <table><tr><th>物件名</th><td>ない</td></tr></table> -->'
+  || '<div class="breadcrumb"><ul><li>TOP</li><li>' || (case when listing_id % 3 = 0 then '物件詳細' else address2 || '</li><li>' || property_type end) || '</li></ul></div>'
+  || '<h1 class="t">' || coalesce(property_name, '') || '<small> 中古 </small></h1>'
+  || '<table><tr><th>' || (case when listing_id % 5 = 0 then '建物名' else '物件名' end) || '</th><td> ' || coalesce(property_name, '-') || ' </td></tr>'
+  || '<tr><th>' || (case when listing_id % 2 = 0 then '価格：' else '販売価格' end) || '</th><td><b>' || price_text || '</b></td></tr>'
+  || '<tr><th>所在地</th><td>' || address || '<br></td><th>交通</th><td>' || coalesce(traffic, '') || '</td></tr>'
+  || '<tr><td class="table-header">築年月</td><td class="table-data">' || built_text || '</td></tr>'
+  || '<tr><td>無関係</td><td>' || property_type || '</td></tr></table>'
+  || '<dl><dt>物件名</dt><dd>後の名前</dd><dt>備考</dt><dd>' || coalesce(biko, '') || '</dd><dt>種別</dt><dd>'
+  || (case listing_id % 4 when 0 then '一棟アパート' when 1 then '中古一戸建て' when 2 then 'ビル' else '' end) || '</dd></dl>'
+  || '<img src="/img/' || cast(listing_id as string) || '/1.jpg" alt="外観"><img data-src="2.png?w=1" title="間取図"><img src="/img/logo.gif" alt="ロゴ">'
+  || '<img src="/img/' || cast(listing_id as string) || '/3.JPG" alt=" リビング "><img src="/img/' || cast(listing_id as string) || '/1.jpg" alt="重複"><img src="/img/map.webp" alt="周辺">'
+  || '<img alt="寝室" data-lazy="//cdn.ex.example/4.webp"><img src="/img/5.jpeg" alt="キッチン">'
+  || '<a class="n" href="/mansion/' || cast(listing_id as string) || '/">詳細</a><a href="/kodate/' || cast(listing_id % 100 as string) || '?x=1&amp;y=2">戸建</a><a href="/kodate/' || cast(listing_id % 100 as string) || '?x=3">戸建</a><a name="here">印</a>'
+  || (case when listing_id % 6 = 1 then '<a href="?page=9">次へ</a>' else '' end)
+  || '<script>list.push({' || chr(39) || 'number' || chr(39) || ': ' || chr(39) || 'B' || cast(listing_id as string) || chr(39) || '});list.push({' || chr(39) || 'number' || chr(39) || ':' || chr(39) || 'A1' || chr(39) || '});</script>'
+  || '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"propertyList":[{"detailUrl":"/d/' || cast(listing_id as string) || '/"},{"detailUrl":""},{"detailUrl":"/e/"}],'
+  || '"summary":{"tableItems":[{"title":"' || (case when listing_id % 2 = 0 then '価格' else '販売価格' end) || '","data":{"text":"' || price_text || '"}},{"title":"備考","data":{"html":"<p>' || coalesce(biko, '') || '</p>"}}]}}}}</script>'
+  || (case when listing_id % 19 = 4 then '<p>お探しの物件は、掲載が終了しました</p>' else '' end) || '</body></html>' as html
+from listing
+"""
+
 # every view with the views and tables it stands on
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "place": (PLACE_SQL, ["nation"]),
@@ -315,6 +343,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "route_rows": (ROUTE_ROWS_SQL, ["listing"]),
     "coded": (CODED_SQL, ["evaluation"]),
     "copies": (COPIES_SQL, ["listing"]),
+    "page": (PAGE_SQL, ["listing"]),
 }
 
 
