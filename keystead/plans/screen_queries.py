@@ -137,7 +137,7 @@ def recommend(spark, sf):
 _K = _CODE.format("property_type")
 
 
-@query("routes", f"""{cte("listing", "evaluation")}, t as (select eval_id, case when eval_id % 10 = 0 then 'investment' else e.property_type end as property_type, property_name, company from evaluation e join listing l on e.property_id = l.property_id)
+@query("routes", f"""{cte("listing", "evaluation")}, t as (select eval_id, case when eval_id % 10 = 0 then 'investment' else e.property_type end as property_type, property_name, e.company from evaluation e join listing l on e.property_id = l.property_id)
 select eval_id, case when property_type in ('invest_apartment', 'apartment') then 'apartment' when property_type in ('invest_kodate', 'mansion', 'kodate', 'tochi') then property_type else 'general' end as alert_route,
   case when {_K} in ('mansion', 'kodate', 'tochi') then {_K} when {_K} in ('investapartment', 'investmentapartment', 'apartment') then 'invest_apartment'
     when {_K} in ('investkodate', 'investmentkodate') then 'invest_kodate' when {_K} = 'investment' and {has("lower(property_name)", ["アパート", "マンション", "一棟"])} then 'invest_apartment'
