@@ -239,12 +239,13 @@ def state_values(pages: DataFrame, titles: list[str] | None = None) -> DataFrame
     """Values of the embedded page state by title, synonyms included."""
     state = F.from_json(html.state_json("html"), STATE_SCHEMA)
     items = state["props"]["pageProps"]["summary"]["tableItems"]
-    out = []
-    for title in titles or list(vocab.STATE_SYNONYMS):
+
+    def value(title: str) -> Column:
         names = vocab.STATE_SYNONYMS.get(title, [title])
-        data = F.get(F.filter(F.col("_items"), lambda t, ns=names: t["title"].isin(ns)), F.lit(0))["data"]
-        out.append(F.coalesce(data["text"], html.plain_text(data["html"]), F.lit("")).alias(title))
-    return pages.withColumn("_items", items).select("page_id", *out)
+        data = F.get(F.filter(F.col("_items"), lambda t: t["title"].isin(names)), F.lit(0))["data"]
+        return F.coalesce(data["text"], html.plain_text(data["html"]), F.lit("")).alias(title)
+
+    return pages.withColumn("_items", items).select("page_id", *map(value, titles or vocab.STATE_SYNONYMS))
 
 
 def snake_case(c: Column | str) -> Column:

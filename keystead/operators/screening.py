@@ -200,11 +200,11 @@ def daily_budget(
 def images_for_analysis(images: Column | str, per_category: int = vocab.IMAGES_PER_CATEGORY) -> Column:
     """At most two images per category, in page order, categories in analysis order."""
     arr = F.col(images) if isinstance(images, str) else images
-    parts = [
-        F.slice(F.filter(arr, lambda x, c=cat: x["category"] == c), 1, per_category)
-        for cat in ("layout", "exterior", "interior")
-    ]
-    return F.concat(*parts)
+
+    def of(category: str) -> Column:
+        return F.slice(F.filter(arr, lambda x: x["category"] == category), 1, per_category)
+
+    return F.concat(of("layout"), of("exterior"), of("interior"))
 
 
 def route_digest(items: DataFrame, route: str, order: list[Column], n: int = 10) -> DataFrame:

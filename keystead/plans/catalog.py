@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystead.plans import quality_queries, screen_queries, text_queries, value_queries  # noqa: F401
+from keystead.plans import page_queries, quality_queries, screen_queries, text_queries, value_queries  # noqa: F401
 from keystead.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -14,7 +14,7 @@ def append_crawl_log(rows: DataFrame, path: str) -> None:
 
 
 def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CRAWL_LOG).json(path)
+    return spark.read.schema(schemas.CRAWL_LOG).json(path).drop("date")
 
 
 def crawl_log_rows(url: Column, ok: Column, model: Column, error: Column, ts: Column) -> list[Column]:
