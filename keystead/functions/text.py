@@ -31,6 +31,15 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times, also inside a lambda.
+
+    A lambda body is evaluated per element and without common-subexpression
+    elimination; the one-element array makes the value a variable.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_to_null(c: Column | str) -> Column:
     """Empty text to NULL."""
     return F.nullif(col(c), F.lit(""))
@@ -140,4 +149,4 @@ def unescape_html(c: Column | str) -> Column:
     out = col(c)
     for entity, char in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.when(F.contains(col(c), F.lit("&")), out).otherwise(col(c))

@@ -19,26 +19,41 @@ def canonical_url(c: Column | str) -> Column:
     return F.concat(url_part(c, 1), F.lit("://"), url_part(c, 2), url_part(c, 3))
 
 
-def absolute_url(href: Column | str, base: Column | str) -> Column:
-    """A link made absolute against the page it stands on."""
-    h = col(href)
-    scheme, host, path = url_part(base, 1), url_part(base, 2), url_part(base, 3)
-    root = F.concat(scheme, F.lit("://"), host)
-    folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "")
-    no_fragment = F.regexp_replace(col(base), "#.*$", "")
-    joined = F.when(h.startswith("/"), h).otherwise(F.concat(folder, h))
+def base_parts(base: Column | str) -> Column:
+    """What a link is resolved against, taken apart once per page."""
+    path = url_part(base, 3)
+    return F.struct(
+        url_part(base, 1).alias("scheme"),
+        F.concat(url_part(base, 1), F.lit("://"), url_part(base, 2)).alias("root"),
+        path.alias("path"),
+        F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "").alias("folder"),
+        F.regexp_replace(col(base), "#.*$", "").alias("page"),
+    )
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """A link made absolute against the parts of its page."""
+    h = href
+    joined = F.when(h.startswith("/"), h).otherwise(F.concat(base["folder"], h))
+    dotted = joined
     for _ in range(3):  # dot segments; three levels up is as far as real pages go
-        joined = F.regexp_replace(joined, r"/\./", "/")
-        joined = F.regexp_replace(joined, r"/(?!\.\./)[^/?#]+/\.\./", "/")
+        dotted = F.regexp_replace(dotted, r"/\./", "/")
+        dotted = F.regexp_replace(dotted, r"/(?!\.\./)[^/?#]+/\.\./", "/")
     return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("?"), F.concat(root, path, h))
-        .when(h.startswith("#"), F.concat(no_fragment, h))
-        .otherwise(F.concat(root, joined))
+        F.when(h.startswith("//"), F.concat(base["scheme"], F.lit(":"), h))
+        .when(h.startswith("?"), F.concat(base["root"], base["path"], h))
+        .when(h.startswith("#"), F.concat(base["page"], h))
+        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+        .when(~F.contains(h, F.lit("./")), F.concat(base["root"], joined))
+        .otherwise(F.concat(base["root"], dotted))
     )
 
 
+def absolute_url(href: Column | str, base: Column | str) -> Column:
+    """A link made absolute against the page it stands on."""
+    return resolve(col(href), base_parts(base))
+
+
 def next_page_url(c: Column | str) -> Column:
     """The same list one page on: ``page`` raised by one, or set to 2.
 

@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keystead import vocab
 from keystead.functions import html, urls
-from keystead.functions.text import blank_to_null, contains_any
+from keystead.functions.text import blank_to_null, contains_any, let
 
-# label alias table: field, label, rank. A site may add rows of its own; the
-# lowest rank with a value wins. Columns site and type are NULL for "any".
-ALIAS_SCHEMA = "site string, property_type string, field string, label string, rank int"
+# Label aliases: field -> labels, best first. A site may put labels of its own
+# before these; see ``field_values``.
 DEFAULT_ALIASES = {
     # --- fixed values: page labels per field, best first ---
     "property_name": vocab.NAME_LABELS,
@@ -40,13 +39,48 @@ DEFAULT_ALIASES = {
 }
 
 
-def alias_table(spark, extra: list[tuple] | None = None) -> DataFrame:
-    """The alias rows as a table; ``extra`` rows go before the defaults."""
-    rows = [
-        (None, None, field, label, rank)
-        for field, labels in DEFAULT_ALIASES.items() for rank, label in enumerate(labels)
-    ]
-    return spark.createDataFrame([*(extra or []), *rows], ALIAS_SCHEMA)
+MAX_ALIASES = 10000
+
+
+def alias_rows(aliases: DataFrame) -> dict[tuple[str, str, str], list[str]]:
+    """A stored alias table (site, property_type, field, label, rank) as configuration.
+
+    It is written by hand, some dozens of rows per site; a table that is not is
+    refused.
+    """
+    rows = aliases.select("site", "property_type", "field", "label", "rank").limit(MAX_ALIASES + 1).collect()
+    if len(rows) > MAX_ALIASES:
+        raise ValueError(f"more than {MAX_ALIASES} label aliases")
+    out: dict[tuple[str, str, str], list[str]] = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        out.setdefault((r["site"], r["property_type"], r["field"]), []).append(r["label"])
+    return out
+
+
+def field_values(
+    fields: list[str], site_aliases: dict[tuple[str, str, str], list[str]] | None = None
+) -> Column:
+    """Per field the first non-empty value under its labels, as one array in field order.
+
+    The site's own labels go first.  A projection over the pairs of the page: no
+    join and no shuffle.
+    """
+    def labels(field: str) -> Column:
+        out = F.array(*[F.lit(x) for x in DEFAULT_ALIASES[field]])
+        own = {k: v for k, v in (site_aliases or {}).items() if k[2] == field}
+        if not own:
+            return out
+        entries = [x for (site, kind, _), names in own.items() for x in (
+            F.lit(f"{site}|{kind}"), F.array(*[F.lit(n) for n in names])
+        )]
+        mine = F.try_element_at(F.create_map(*entries), F.concat_ws("|", "site", "property_type"))
+        return F.concat(F.coalesce(mine, F.array().cast("array<string>")), out)
+
+    def value(names: Column) -> Column:
+        found = F.transform(names, lambda label: html.spec("pairs", label))
+        return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
+
+    return F.transform(F.array(*map(labels, fields)), value)
 
 
 def page_status(body: Column | str, http_status: Column | None = None) -> Column:
@@ -66,44 +100,22 @@ def page_status(body: Column | str, http_status: Column | None = None) -> Column
 
 
 def label_rows(pages: DataFrame, precedence: str = "first") -> DataFrame:
-    """Adds ``pairs``: the label/value pairs of each page (the only Python stage)."""
-    pairs = pages.withColumn("pairs", html.label_pairs("html"))
+    """Adds ``markup`` and ``pairs``: the label/value pairs of each page (the only Python stage)."""
     pick = html.first_per_label if precedence == "first" else html.longest_table_value
-    return pairs.withColumn("pairs", pick(F.col("pairs")))
+    return (
+        pages.withColumn("markup", html.visible_markup("html"))
+        .withColumn("pairs", html.label_pairs("markup"))
+        .withColumn("pairs", pick(F.col("pairs")))
+    )
 
 
-def property_name(pairs: Column, page: Column) -> Column:
+def property_name(pairs: Column | str = "pairs", markup: Column | str = "markup") -> Column:
     """Name cascade: spec label, breadcrumb, first heading; NULL when all fail."""
-    spec = F.coalesce(*[
-        F.when(F.element_at(pairs, F.lit(label)).isin("", "-"), None).otherwise(F.element_at(pairs, F.lit(label)))
-        for label in vocab.NAME_LABELS
-    ])
-    last = F.try_element_at(html.breadcrumb(page), F.lit(-1))
-    crumb = F.when(~last.isin(vocab.BREADCRUMB_STOP) & (F.char_length(last) < 40), last)
-    return F.coalesce(spec, crumb, html.heading(page))
-
-
-def resolve_aliases(rows: DataFrame, aliases: DataFrame, key: str = "page_id") -> DataFrame:
-    """One column per field: the value under the best ranked label the page has.
-
-    The alias table has some dozens of rows per site.  The pairs of a page are
-    matched and ranked in one hash aggregation.
-    """
-    fields = sorted(DEFAULT_ALIASES)
-    exploded = rows.select(key, F.col("site"), F.col("property_type"), F.explode("pairs").alias("p")).select(
-        key, "site", "property_type", F.col("p.label").alias("label"), F.col("p.value").alias("value")
-    ).filter(F.col("value") != "")
-    a = aliases.alias("a")
-    e = exploded.alias("e")
-    fits = (
-        (F.col("e.label") == F.col("a.label"))
-        & (F.col("a.site").isNull() | (F.col("a.site") == F.col("e.site")))
-        & (F.col("a.property_type").isNull() | (F.col("a.property_type") == F.col("e.property_type")))
-    )
-    # a row for this very site goes before a general one
-    order = F.struct(F.col("a.site").isNull(), F.col("a.rank"))
-    matched = e.join(a, fits).select(f"e.{key}", "a.field", F.col("e.value").alias("value"), order.alias("o"))
-    return matched.groupBy(key).pivot("field", fields).agg(F.min_by("value", "o"))
+    names = F.array(*[F.lit(x) for x in vocab.NAME_LABELS])
+    known = F.filter(F.transform(names, lambda n: html.spec(pairs, n)), lambda v: ~v.isin("", "-"))
+    last = F.try_element_at(html.breadcrumb(markup), F.lit(-1))
+    crumb = F.filter(F.array(last), lambda c: ~c.isin(vocab.BREADCRUMB_STOP) & (F.char_length(c) < 40))
+    return F.coalesce(F.get(known, F.lit(0)), F.get(crumb, F.lit(0)), html.heading(markup))
 
 
 def investment_kind(label: Column) -> Column:
@@ -114,33 +126,37 @@ def investment_kind(label: Column) -> Column:
     )
 
 
-def extract_listings(pages: DataFrame, aliases: DataFrame) -> DataFrame:
+def extract_listings(
+    pages: DataFrame, site_aliases: dict[tuple[str, str, str], list[str]] | None = None
+) -> DataFrame:
     """Pages (page_id, site, property_type, url, html) to raw listing rows.
 
-    Ended and busy pages are left out.
+    Ended and busy pages are left out.  One pass over the pages without a shuffle.
     """
-    live = pages.withColumn("page_status", page_status("html")).filter("page_status = 'active'")
-    rows = label_rows(live)
-    fields = resolve_aliases(rows, aliases)
-    named = rows.withColumn("page_name", property_name(html.specs_map(F.col("pairs")), F.col("html"))).select(
-        "page_id", "site", "property_type", "url", "page_name"
-    )
-    return (
-        named.join(fields, "page_id", "left")
-        .withColumn("property_name", F.col("page_name"))
-        .withColumn("invest_kind", investment_kind(F.col("type_label")))
-        .drop("page_name")
+    live = pages.filter(page_status("html") == "active")
+    fields = [f for f in DEFAULT_ALIASES if f != "property_name"]
+    rows = label_rows(live).select(
+        "page_id", "site", "property_type", "url", property_name().alias("property_name"),
+        field_values(fields, site_aliases).alias("_values"),
     )
+    return rows.select(
+        "page_id", "site", "property_type", "url", "property_name",
+        *[F.get("_values", F.lit(i)).alias(f) for i, f in enumerate(fields)],
+    ).withColumn("invest_kind", investment_kind(F.col("type_label")))
 
 
 def page_links(pages: DataFrame, path_pattern: str | None = None, canonical: bool = False) -> DataFrame:
     """Distinct (src_url, dst_url) edges; optionally only paths of a form.
 
-    Duplicates on one page go away before the shuffle.
+    The pattern is checked before the shuffle of the distinct.
     """
-    found = pages.select(F.col("url").alias("src_url"), F.explode(html.links("html")).alias("l"))
-    dst = urls.absolute_url(F.col("l.href"), F.col("src_url"))
-    edges = found.select("src_url", (urls.canonical_url(dst) if canonical else dst).alias("dst_url"))
+    found = pages.select(
+        F.col("url").alias("src_url"), urls.base_parts("url").alias("base"),
+        html.links(html.visible_markup("html")).alias("links"),
+    ).select("src_url", "base", F.explode("links.href").alias("href"))
+    edges = found.select("src_url", urls.resolve(F.col("href"), F.col("base")).alias("dst_url"))
+    if canonical:
+        edges = edges.withColumn("dst_url", urls.canonical_url("dst_url"))
     if path_pattern:
         edges = edges.filter(urls.url_part("dst_url", 3).rlike(path_pattern))
     return edges.filter(F.col("dst_url").isNotNull()).dropDuplicates(["src_url", "dst_url"])
@@ -157,34 +173,41 @@ def script_ids(pages: DataFrame, pattern: str = r"'number':\s*'([^']+)'") -> Dat
 
 def next_pages(pages: DataFrame) -> DataFrame:
     """Next list page: the link that says so, else the canonical URL one page on."""
-    says_next = F.filter(
-        html.links("html"), lambda x: F.contains(x["text"], F.lit("次")) | x["text"].isin(">", "»")
+    says_next = lambda x: F.contains(x["text"], F.lit("次")) | x["text"].isin(">", "»")
+    found = (
+        pages.select("page_id", "url", html.visible_markup("html").alias("markup"))
+        .select(
+            "page_id", "url", html.canonical_link("markup").alias("canonical"),
+            F.get(F.filter(html.links("markup"), says_next), F.lit(0))["href"].alias("href"),
+        )
+    )
+    return found.select(
+        "page_id", "url",
+        F.coalesce(urls.absolute_url("href", "url"), urls.next_page_url("canonical")).alias("next_url"),
     )
-    linked = urls.absolute_url(F.get(says_next, F.lit(0))["href"], F.col("url"))
-    return pages.select("page_id", "url", F.coalesce(linked, urls.next_page_url(html.canonical_link("html"))).alias("next_url"))
 
 
-def page_images(page: Column | str, base: Column | str) -> Column:
+def page_images(markup: Column | str, base: Column | str) -> Column:
     """array<struct(url, label)>: absolute, of a picture type, first per URL."""
-    found = F.transform(
-        html.images(page),
-        lambda i: F.struct(urls.absolute_url(i["src"], base).alias("url"), i["label"].alias("label")),
-    )
     suffix = r"(?i)^[^?]*\.(" + "|".join(vocab.IMAGE_SUFFIXES) + r")(\?.*)?$"
-    pictures = F.filter(found, lambda i: i["url"].rlike(suffix))
-    seen = F.transform(pictures, lambda i: i["url"])
-    return F.filter(pictures, lambda i, n: F.array_position(seen, i["url"]) == n + 1)
+    found = let(
+        F.struct(urls.base_parts(base).alias("base"), html.images(markup).alias("images")),
+        lambda p: F.transform(
+            p["images"], lambda i: F.struct(urls.resolve(i["src"], p["base"]).alias("url"), i["label"].alias("label"))
+        ),
+    )
+    return html.first_by(F.filter(found, lambda i: i["url"].rlike(suffix)), "url")
 
 
 def image_category(label: Column, url: Column) -> Column:
     """layout, exterior or interior; NULL for a picture of something else."""
     text = F.lower(F.concat(F.coalesce(label, F.lit("")), F.lit("\n"), F.coalesce(url, F.lit(""))))
-    return (
-        F.when(contains_any(text, vocab.IMAGE_REJECT), None)
-        .when(contains_any(text, vocab.IMAGE_LAYOUT), "layout")
-        .when(contains_any(text, vocab.IMAGE_EXTERIOR), "exterior")
+    return let(text, lambda t: (
+        F.when(contains_any(t, vocab.IMAGE_REJECT), None)
+        .when(contains_any(t, vocab.IMAGE_LAYOUT), "layout")
+        .when(contains_any(t, vocab.IMAGE_EXTERIOR), "exterior")
         .otherwise("interior")
-    )
+    ))
 
 
 def clean_images(images: Column) -> Column:

@@ -60,7 +60,9 @@ def page_links(spark, sf):
 select page_id, nullif({plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') as title,
   nullif({plain_sql(f"regexp_extract({_VISIBLE.format('html')}, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '') as h1 from pages""")
 def page_headings(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.title("html").alias("title"), html.heading("html").alias("h1"))
+    return table(spark, sf, "pages").select(
+        "page_id", html.title("html").alias("title"), html.heading(html.visible_markup("html")).alias("h1")
+    )
 
 
 _TITLE = plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
@@ -81,7 +83,8 @@ def page_status(spark, sf):
 # --- listing pages -------------------------------------------------------------------------
 
 @query("detail_links", f"""{PAGE}, l as (select page_id, unnest(['/mansion/' || cast(page_id as string) || '/', '/kodate/' || cast(page_id % 100 as string)]) as path from page)
-select distinct 'http://ex.example/' || property_type || '/' || cast(l.page_id as string) || '/' as src_url, 'http://ex.example' || path as dst_url from l join page p on l.page_id = p.page_id""")
+select distinct 'http://ex.example/' || property_type || '/' || cast(l.page_id as string) || '/' as src_url, 'http://ex.example' || path as dst_url from l join page p on l.page_id = p.page_id
+union select url, url from page where page_id % 6 = 1 and property_type in ('mansion', 'kodate', 'tochi')""")
 def detail_links(spark, sf):
     return extract.page_links(load(spark, sf, "page"), extract.DETAIL_PATHS, canonical=True)
 
@@ -132,14 +135,14 @@ NAME_SQL = f"""coalesce({_SPEC_NAME}, case when page_id % 5 = 0 then null end, c
 @query("property_names", f"""{PAGE} select page_id, {NAME_SQL} as name from {_PAGE_JOIN}""")
 def property_names(spark, sf):
     rows = extract.label_rows(load(spark, sf, "page").select("page_id", "html"))
-    return rows.select("page_id", extract.property_name(html.specs_map(F.col("pairs")), F.col("html")).alias("name"))
+    return rows.select("page_id", extract.property_name().alias("name"))
 
 
 @query("extract_listings", f"""{PAGE}, live as (select * from page where {STATUS_SQL} = 'active')
 select page_id, p.site, p.property_type, {NAME_SQL} as property_name, {_FIELDS},
   case page_id % 4 when 0 then 'apartment' when 1 then 'kodate' when 2 then 'apartment' end as invest_kind from live p join listing l on p.page_id = l.listing_id""")
 def extract_listings(spark, sf):
-    out = extract.extract_listings(load(spark, sf, "page"), extract.alias_table(spark))
+    out = extract.extract_listings(load(spark, sf, "page"))
     return out.select("page_id", "site", "property_type", "property_name", *[c for c, _ in SPECS], "invest_kind")
 
 
@@ -149,11 +152,10 @@ def extract_listings(spark, sf):
 select page_id, u as image_url, category, (category <> 'interior' or pos in (3, 4)) as analysed from i""")
 def page_images(spark, sf):
     rows = load(spark, sf, "page").select(F.col("page_id").alias("eval_id"), "html", "url").withColumn(
-        "images", extract.clean_images(extract.page_images("html", "url"))
+        "images", extract.clean_images(extract.page_images(html.visible_markup("html"), "url"))
     )
     rows = rows.withColumn("chosen", F.transform(screening.images_for_analysis("images"), lambda i: i["url"]))
-    child = upsert.image_rows(rows.select("eval_id", "images"))
-    return child.join(rows.select("eval_id", "chosen"), "eval_id").select(
+    return upsert.image_rows(rows, keep=["chosen"]).select(
         F.col("eval_id").alias("page_id"), "image_url", "category", F.array_contains("chosen", F.col("image_url")).alias("analysed")
     )
 

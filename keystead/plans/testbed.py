@@ -366,9 +366,21 @@ def cte(*names: str) -> str:
     return "with " + ",\n".join(f"{n} as ({VIEWS[n][0].strip()})" for n in _needed(list(names)) if n in VIEWS)
 
 
+# tables with a row per listing, page, text or event
+FACTS = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.
+
+    A fact table that comes as fewer splits than there are cores (a small file is
+    one split) is dealt out to all of them; a large one is left as it is read.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACTS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
