@@ -139,14 +139,18 @@ def display_value(c: Column | str) -> Column:
 
 
 HTML_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&yen;", "¥"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    ("&apos;", "'"), ("&yen;", "¥"), ("&copy;", "©"), ("&middot;", "·"), ("&times;", "×"),
+    ("&sup2;", "²"), ("&hellip;", "…"), ("&amp;", "&"),
 ]
 
 
 def unescape_html(c: Column | str) -> Column:
-    """Decode the entities listing pages use in attributes and headings."""
-    out = col(c)
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.contains(col(c), F.lit("&")), out).otherwise(col(c))
+    """Decode the entities listing pages use in attributes, cells and headings."""
+    def decode(v: Column) -> Column:
+        out = v
+        for entity, char in HTML_ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(F.contains(v, F.lit("&")), out).otherwise(v)
+
+    return let(col(c), decode)

@@ -83,24 +83,32 @@ def field_values(
     return F.transform(F.array(*map(labels, fields)), value)
 
 
-def page_status(body: Column | str, http_status: Column | None = None) -> Column:
+def page_status(body: Column | str, http_status: Column | None = None, head: Column | str | None = None) -> Column:
     """active, ended, busy or error by the page itself.
 
     An HTTP status other than 200, a telling title, or a telling phrase anywhere.
+    ``head`` is the title, if it is a column already.
     """
     body = F.col(body) if isinstance(body, str) else body
-    head = html.title(body)
-    status = F.when(F.contains(head, F.lit(vocab.SKIP_TITLE_WORDS["busy"])), "busy")
-    status = status.when(
-        contains_any(head, vocab.ENDED_TITLE_WORDS) | contains_any(body, vocab.ENDED_PHRASES), "ended"
-    ).otherwise("active")
+    head = html.title(body) if head is None else head
+
+    def by_title(t: Column) -> Column:
+        return (
+            F.when(F.contains(t, F.lit(vocab.SKIP_TITLE_WORDS["busy"])), "busy")
+            .when(contains_any(t, vocab.ENDED_TITLE_WORDS), "ended")
+        )
+
+    status = F.coalesce(
+        let(F.col(head) if isinstance(head, str) else head, by_title),
+        F.when(contains_any(body, vocab.ENDED_PHRASES), "ended").otherwise("active"),
+    )
     if http_status is not None:
         status = F.when(F.coalesce(http_status != 200, F.lit(True)), "error").otherwise(status)
     return status
 
 
 def label_rows(pages: DataFrame, precedence: str = "first") -> DataFrame:
-    """Adds ``markup`` and ``pairs``: the label/value pairs of each page (the only Python stage)."""
+    """Adds ``markup`` and ``pairs``: the label/value pairs of each page."""
     pick = html.first_per_label if precedence == "first" else html.longest_table_value
     return (
         pages.withColumn("markup", html.visible_markup("html"))
@@ -152,13 +160,13 @@ def page_links(pages: DataFrame, path_pattern: str | None = None, canonical: boo
     """
     found = pages.select(
         F.col("url").alias("src_url"), urls.base_parts("url").alias("base"),
-        html.links(html.visible_markup("html")).alias("links"),
-    ).select("src_url", "base", F.explode("links.href").alias("href"))
+        F.explode(html.hrefs(html.visible_markup("html"))).alias("href"),
+    )
     edges = found.select("src_url", urls.resolve(F.col("href"), F.col("base")).alias("dst_url"))
-    if canonical:
-        edges = edges.withColumn("dst_url", urls.canonical_url("dst_url"))
     if path_pattern:
         edges = edges.filter(urls.url_part("dst_url", 3).rlike(path_pattern))
+    if canonical:
+        edges = edges.withColumn("dst_url", urls.canonical_url("dst_url"))
     return edges.filter(F.col("dst_url").isNotNull()).dropDuplicates(["src_url", "dst_url"])
 
 

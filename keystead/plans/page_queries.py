@@ -30,7 +30,7 @@ def unescape_sql(x: str) -> str:
 def text_entities():
     return [
         ("&nbsp;", "chr(32)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"),
-        ("&yen;", "'¥'"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'"),
+        ("&yen;", "'¥'"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&times;", "'×'"), ("&sup2;", "'²'"), ("&hellip;", "'…'"), ("&amp;", "'&'"),
     ]
 
 
