@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from keystead.plans import page_queries, quality_queries, screen_queries, text_queries, value_queries  # noqa: F401
+from keystead.plans import (  # noqa: F401
+    model_queries, page_queries, quality_queries, screen_queries, stream_queries, text_queries, value_queries,
+)
 from keystead.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
