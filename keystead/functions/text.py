@@ -7,7 +7,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keystead import vocab
 
@@ -40,6 +40,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_kept(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """One row per array element, rows without elements left out.
+
+    A plain explode makes Catalyst filter on the array first, which works an
+    expensive array out twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def blank_to_null(c: Column | str) -> Column:
     """Empty text to NULL."""
     return F.nullif(col(c), F.lit(""))

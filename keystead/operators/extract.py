@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keystead import vocab
 from keystead.functions import html, urls
-from keystead.functions.text import blank_to_null, contains_any, let
+from keystead.functions.text import blank_to_null, contains_any, explode_kept, let
 
 # Label aliases: field -> labels, best first. A site may put labels of its own
 # before these; see ``field_values``.
@@ -158,10 +158,8 @@ def page_links(pages: DataFrame, path_pattern: str | None = None, canonical: boo
 
     The pattern is checked before the shuffle of the distinct.
     """
-    found = pages.select(
-        F.col("url").alias("src_url"), urls.base_parts("url").alias("base"),
-        F.explode(html.hrefs(html.visible_markup("html"))).alias("href"),
-    )
+    bases = pages.select(F.col("url").alias("src_url"), urls.base_parts("url").alias("base"), "html")
+    found = explode_kept(bases, ["src_url", "base"], html.hrefs(html.visible_markup("html")), "href")
     edges = found.select("src_url", urls.resolve(F.col("href"), F.col("base")).alias("dst_url"))
     if path_pattern:
         edges = edges.filter(urls.url_part("dst_url", 3).rlike(path_pattern))

@@ -191,7 +191,7 @@ def daily_budget(
     within = F.struct(F.col(ts).alias("t"), F.col(key).alias("k")) <= F.col("_line")
     return (
         df.withColumn("_day", day)
-        .join(line, "_day", "left")
+        .join(F.broadcast(line), "_day", "left")  # one row per calendar day
         .withColumn("budget_status", F.when(within, "processing").otherwise("skipped_by_budget"))
         .drop("_day", "_line")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keystead import vocab
 from keystead.functions import html
+from keystead.functions.text import explode_kept
 from keystead.operators import extract, quality, screening, upsert
 from keystead.plans.quality_queries import REQUIRED, joined_reasons
 from keystead.plans.registry import has, query, trim, whole
@@ -123,7 +124,7 @@ u as (select page_id, case when page_id % 5 = 0 then '建物名' else '物件名
 select page_id, label, value from u""")
 def label_pairs(spark, sf):
     rows = extract.label_rows(load(spark, sf, "page").select("page_id", "html"))
-    return rows.select("page_id", F.explode("pairs").alias("p")).select("page_id", "p.label", "p.value")
+    return explode_kept(rows, ["page_id"], F.col("pairs"), "p").select("page_id", "p.label", "p.value")
 
 
 # the heading keeps its small print; the breadcrumb ends on the type or on a stop word

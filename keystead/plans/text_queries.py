@@ -334,7 +334,7 @@ ROUTES_CTE = LISTING.replace("with ", "with recursive ", 1)
 @query("traffic_routes", f"""{ROUTES_CTE}, {ROUTES_SQL}
 select listing_id, cast(idx as int) as idx, transfer, railway, station, walk_min, bus_min, bus_walk_min, bus_use from route""")
 def traffic_routes(spark, sf):
-    return listing(spark, sf).select("listing_id", F.explode(traffic.routes("traffic")).alias("r")).select(
+    return text.explode_kept(listing(spark, sf), ["listing_id"], traffic.routes("traffic"), "r").select(
         "listing_id", "r.idx", "r.transfer", "r.railway", "r.station", "r.walk_min", "r.bus_min", "r.bus_walk_min", "r.bus_use"
     )
 
