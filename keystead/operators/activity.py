@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def activity_sessions(df: DataFrame, by: list[str], ts: str = "ts", gap_seconds: int = 1800) -> DataFrame:
-    """Sessions per key: (by, started, ended, n), split where nothing happened for the gap.
+    """Sessions per key: (by, started, ended, n), split where nothing happened for longer than the gap.
 
     Rows are first folded into cells as wide as the gap.  All rows of a cell are
     less than the gap apart, so they belong to one session, and a key never has
@@ -18,7 +18,7 @@ def activity_sessions(df: DataFrame, by: list[str], ts: str = "ts", gap_seconds:
     )
     gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
     w = Window.partitionBy(*by).orderBy("_cell")
-    opens = F.when(F.col("_first") < F.lag("_last").over(w) + gap, 0).otherwise(1)
+    opens = F.when(F.col("_first") <= F.lag("_last").over(w) + gap, 0).otherwise(1)
     numbered = cells.withColumn("_open", opens).withColumn(
         "_session", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -37,9 +37,7 @@ def read_error_pages(spark: SparkSession, path: str) -> DataFrame:
 
     A note without a time takes the time of its file.
     """
-    notes = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*_meta.txt"
-    ).text(path)
+    notes = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*_meta.txt")
     name = F.col("_metadata.file_path")
     stamp = F.try_to_timestamp(meta_field("value", "Timestamp"), F.lit("yyyy-MM-dd HH:mm:ss"))
     return notes.select(
