@@ -24,6 +24,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods beyond 8000 bytes of bytecode; wide projections
+    # run faster split up than as one interpreted method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # sessions of a hot key are merged in each task before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
