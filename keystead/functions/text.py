@@ -105,11 +105,12 @@ def to_double(c: Column) -> Column:
 
 def clean_text(c: Column | str, nullable: bool = True) -> Column:
     """Strip, collapse white space, and drop a literal none or an empty text."""
-    stripped = strip(c)
+    stripped = F.btrim(plain_spaces(c))
     empty = F.lit(None).cast("string") if nullable else F.lit("")
+    single = F.when(F.contains(stripped, F.lit("  ")), F.regexp_replace(stripped, " {2,}", " ")).otherwise(stripped)
     return F.when(col(c).isNull(), F.lit(None).cast("string")).when(
         F.lower(stripped).isin("none", ""), empty
-    ).otherwise(F.regexp_replace(stripped, r"(?U)\s+", " "))
+    ).otherwise(single)
 
 
 @lru_cache(maxsize=1)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keystead import vocab
 from keystead.functions.text import first_word
+from keystead.session import stage
 
 MUNI_FIELDS = ["pop_growth", "income", "total_population", "income_growth", "density"]
 
@@ -250,7 +251,9 @@ def with_land_price_contains(
 ) -> DataFrame:
     """Land price by containment: city level, else prefecture mean, else 100,000.
 
-    Only the distinct places of the listings meet the keyed dimension.
+    Only the distinct places of the listings meet the keyed dimension.  The priced
+    places are written once, so that the join back knows how few they are and
+    leaves the listings unshuffled.
     """
     by_city, by_pref = land_price_by_part(dim, seq)
     places = df.select(F.col(pref).alias("_pref"), F.col(city).alias("_city")).distinct()
@@ -263,7 +266,7 @@ def with_land_price_contains(
             F.when(asked, F.coalesce("_city_price", "_pref_price")).alias(out),
         )
     )
-    return df.join(priced, [pref, city], "left").withColumn(
+    return df.join(stage(priced, "places"), [pref, city], "left").withColumn(
         out, F.coalesce(out, F.lit(vocab.DEFAULT_LAND_PRICE).cast("bigint"))
     )
 
