@@ -7,7 +7,12 @@ from pyspark.sql import Column, functions as F
 from keystead import vocab
 from keystead.functions.text import ascii_digits, col, extract
 
+# --- fixed values: date patterns and the age of an unknown building ---
 ERAS = "(" + "|".join(vocab.ERA_BASE) + ")"
+YEAR_MONTH = "([0-9]+)年([0-9]+)月"
+ERA_YEAR_MONTH = ERAS + "([0-9]{1,2})年(?:([0-9]{1,2})月)?"
+WESTERN_MONTH = r"([0-9]{4})[年/.\-]([0-9]{1,2})"
+STATED_AGE = "築([0-9]+)年"
 UNKNOWN_AGE = 20
 
 
@@ -31,8 +36,8 @@ def built_month(c: Column | str, compat: bool = False) -> Column:
     year number.
     """
     text = ascii_digits(c)
-    year = extract(text, "([0-9]+)年([0-9]+)月", 1).try_cast("int")
-    month = extract(text, "([0-9]+)年([0-9]+)月", 2).try_cast("int")
+    year = extract(text, YEAR_MONTH, 1).try_cast("int")
+    month = extract(text, YEAR_MONTH, 2).try_cast("int")
     if not compat:
         era = extract(text, ERAS + "[0-9]+年[0-9]+月", 1)
         year = F.when(era.isNotNull(), _era_base(era) + year).otherwise(year)
@@ -46,11 +51,11 @@ def age_years(text: Column | str, as_of: Column, built: Column | None = None) ->
     year and month, or neither.
     """
     t = ascii_digits(text)
-    era_year = extract(t, ERAS + "([0-9]{1,2})年(?:([0-9]{1,2})月)?", 2).try_cast("int")
-    era_month = F.coalesce(extract(t, ERAS + "([0-9]{1,2})年(?:([0-9]{1,2})月)?", 3).try_cast("int"), F.lit(1))
-    era = extract(t, ERAS + "([0-9]{1,2})年", 1)
-    year = extract(t, r"([0-9]{4})[年/.\-]([0-9]{1,2})", 1).try_cast("int")
-    month = extract(t, r"([0-9]{4})[年/.\-]([0-9]{1,2})", 2).try_cast("int")
+    era_year = extract(t, ERA_YEAR_MONTH, 2).try_cast("int")
+    era_month = F.coalesce(extract(t, ERA_YEAR_MONTH, 3).try_cast("int"), F.lit(1))
+    era = extract(t, ERA_YEAR_MONTH, 1)
+    year = extract(t, WESTERN_MONTH, 1).try_cast("int")
+    month = extract(t, WESTERN_MONTH, 2).try_cast("int")
     day = F.when(era.isNotNull(), _first_of_month(_era_base(era) + era_year, era_month)).otherwise(
         _first_of_month(year, month)
     )
@@ -72,7 +77,7 @@ def age_whole_years(text: Column | str, as_of: Column, built: Column | None = No
         number = F.when(found == "元", F.lit(1)).otherwise(found.try_cast("int"))
         era_year = F.when(F.contains(t, F.lit(name)), F.lit(base) + number).otherwise(era_year)
     year = F.coalesce(extract(t, "([0-9]{4})", 1).try_cast("int"), era_year)
-    stated = extract(t, "築([0-9]+)年", 1).try_cast("int")
+    stated = extract(t, STATED_AGE, 1).try_cast("int")
     if built is not None:
         year = F.coalesce(F.year(built), year)
     known = F.when(year.isNotNull(), F.greatest(F.lit(0), this_year - year))  # greatest skips NULL

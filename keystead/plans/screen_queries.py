@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keystead import vocab
 from keystead.models import cleaning, training
-from keystead.operators import aggregates, dedup, lookups, quality, screening, upsert
+from keystead.operators import aggregates, dedup, lookups, quality, repair, screening, upsert
 from keystead.plans.quality_queries import ANOMALY, BEST_PRED, MAIN_AREA
 from keystead.plans.registry import has, query, trim
 from keystead.plans.testbed import cte, load, table
@@ -280,6 +280,25 @@ def union_sources_query(spark, sf):
     })
 
 
+# --- set operations and limits ---------------------------------------------------------------------
+
+@query("latest_evaluations", f"{cte('evaluation')} select eval_id, property_url from evaluation order by eval_id desc limit 1000")
+def latest_evaluations(spark, sf):
+    return load(spark, sf, "evaluation").select("eval_id", "property_url").orderBy(F.col("eval_id").desc()).limit(1000)
+
+
+@query("ratio_gaps", f"""{cte("ratio_rows")} select listing_id from ratio_rows where kenpei is null and coalesce(kenpei_text, '') <> ''
+union select listing_id from ratio_rows where youseki is null and coalesce(youseki_text, '') <> ''""")
+def ratio_gaps(spark, sf):
+    return load(spark, sf, "ratio_rows").filter(repair.needs_ratio_repair()).select("listing_id").distinct()
+
+
+@query("other_urls", f"""{BOTH} select distinct url from listing where url not in (select property_url from evaluation where is_notified)""")
+def other_urls(spark, sf):
+    notified = load(spark, sf, "evaluation").filter("is_notified").select(F.col("property_url").alias("url"))
+    return load(spark, sf, "listing").select("url").exceptAll(notified)
+
+
 # --- training rows ---------------------------------------------------------------------------------
 
 TRAIN_SQL = f"""{AGE_SQL}, tr as (select listing_id, property_type, price_yen / 10000.0 as price, age_years,

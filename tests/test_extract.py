@@ -43,6 +43,8 @@ def test_lookup(spark):
     df = spark.createDataFrame([([("table", "販売価格", "1"), ("list", "価格", "2"), ("labelled", "面積", "3")],)], "p array<struct<kind:string,label:string,value:string>>")
     look = lambda label: df.select(html.lookup(F.col("p"), label)).first()[0]
     assert (look("価格"), look("面積"), look("ない")) == ("1", "3", None)
+    free = lambda text: df.select(html.lookup(F.col("p"), "方位", F.lit(text))).first()[0]
+    assert (free("<p>方位：南向き</p>"), free("<b>方位</b><i>南</i>"), free("<p>x</p>")) == ("方位：南向き", "南", None)
     two = lambda label, **k: df.select(html.lookup_two_way(F.col("p"), label, **k)).first()[0]
     assert two("価 格：") == "2"
     assert two("価格", partial=True) == "1"
