@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keystead.session import stage
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -383,8 +385,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+# pages are stored, as a crawl leaves them: built once per session and folder
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over the given tables."""
+    if name == "page":
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _STORED:
+            _STORED[key] = stage(_view(spark, sf_dir, name), "pages")
+        return _STORED[key]
+    return _view(spark, sf_dir, name)
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in _needed([name]):
         if t in TABLES:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
