@@ -371,13 +371,18 @@ def cte(*names: str) -> str:
 # tables with a row per listing, page, text or event
 FACTS = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
 
+# lazy handles per session and folder, so that footers and view texts are read once
+_HANDLES: dict[tuple[str, str, str], DataFrame] = {}
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables.
 
-    A fact table that comes as fewer splits than there are cores (a small file is
-    one split) is dealt out to all of them; a large one is left as it is read.
-    """
+def _handle(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HANDLES:
+        _HANDLES[key] = make(spark, sf_dir, name)
+    return _HANDLES[key]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in FACTS and df.rdd.getNumPartitions() < cores:
@@ -385,22 +390,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-# pages are stored, as a crawl leaves them: built once per session and folder
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables.
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views over the given tables."""
-    if name == "page":
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in _STORED:
-            _STORED[key] = stage(_view(spark, sf_dir, name), "pages")
-        return _STORED[key]
-    return _view(spark, sf_dir, name)
+    A fact table that comes as fewer splits than there are cores (a small file is
+    one split) is dealt out to all of them; a large one is left as it is read.
+    """
+    return _handle(spark, sf_dir, name, _read)
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in _needed([name]):
         if t in TABLES:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(f"{cte(name)} select * from {name}")
+    rows = spark.sql(f"{cte(name)} select * from {name}")
+    # pages are stored, as a crawl leaves them
+    return stage(rows, "pages") if name == "page" else rows
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the views over the given tables."""
+    return _handle(spark, sf_dir, name, _view)
