@@ -1,7 +1,7 @@
 """Wall time of the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3).  Every query is run once to warm up; the median of the
+BENCH_RUNS (default 2).  Every query is run once to warm up; the median of the
 following runs counts.  Results are consumed in full by the no-op sink.
 """
 
@@ -36,7 +36,7 @@ def timed(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cpus, "bench")
     seconds = {}
     for name in HEADLINE:
