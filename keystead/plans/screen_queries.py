@@ -11,7 +11,7 @@ from keystead.plans.quality_queries import ANOMALY, BEST_PRED, MAIN_AREA
 from keystead.plans.registry import has, query, trim
 from keystead.plans.testbed import cte, load, table
 from keystead.plans.text_queries import AGE_SQL, canonical_sql
-from keystead.plans.value_queries import TRADE_SQL, priced_listings, rounded
+from keystead.plans.value_queries import NUDGE, TRADE_SQL, priced_listings, rounded
 from keystead.session import stage
 from keystead.sources.tables import union_sources
 
@@ -358,10 +358,11 @@ def regression_metrics(spark, sf):
 
 
 @query("errors_by_period", f"""{BOTH}, {PRED_SQL}
-select property_type, city, strftime(date_trunc('month', analyzed_at), '%Y-%m') as period, round(avg(abs((y - p) / y)) * 100, 4) as mape, round(avg(abs(y - p)), 4) as mae, count(*) as n from pr where y > 0 group by 1, 2, 3""")
+select property_type, city, strftime(date_trunc('month', analyzed_at), '%Y-%m') as period, round(avg(abs((y - p) / y)) * 100 + {NUDGE}, 4) as mape, round(avg(abs(y - p)) + {NUDGE}, 4) as mae, count(*) as n from pr where y > 0 group by 1, 2, 3""")
 def errors_by_period(spark, sf):
     out = aggregates.errors_by_period(predictions(spark, sf), "analyzed_at").drop("r2")
-    return rounded(out.withColumn("period", F.date_format("period", "yyyy-MM")), 4)
+    stepped = {c: F.col(c) + NUDGE for c in ("mape", "mae")}
+    return rounded(out.withColumns({**stepped, "period": F.date_format("period", "yyyy-MM")}), 4)
 
 
 @query("unit_target", f"""{cte("listing")}, {TRAIN_SQL}
