@@ -222,11 +222,12 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> byte
 
 def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows: int = 256) -> DataFrame:
     """(doc_id, ids) for every row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path) if lexicon is None else lexicon)
+    data = build_lexicon(docs, path) if lexicon is None else lexicon
+    shared, name = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _loaded.get("lexicon") != shared.id:
-            _loaded.update(lexicon=shared.id, encoder=Encoder(merges_of(path), Lexicon(shared.value)))
+        if _loaded.get("lexicon") != (path, name):
+            _loaded.update(lexicon=(path, name), encoder=Encoder(merges_of(path), Lexicon(shared.value)))
         encoder = _loaded["encoder"]
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):

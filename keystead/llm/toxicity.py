@@ -35,13 +35,14 @@ from keystead.session import stage
 
 EXAMPLES = 20_000  # labelled rows that are learned from
 TERMS = 8_192  # terms of the model
-SHARPEST = 1.5  # least log odds ratio of a term
+SHARPEST = 2.5  # least log odds ratio of a term
 SUREST = 4.0  # least z of a term
 BEGINNINGS = (4, 5, 6)  # letters of word beginnings that are terms too
 BLOCK = 64  # examples of a block
 NEAREST = 15
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
+REST = 1.0  # weight of the words that are no terms, taken together as one
 PRIOR = 0.25  # weight of a vote for the mean, so that faint likeness stays near it
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -78,10 +79,14 @@ class Terms:
         return found
 
     def counts(self, text: str) -> dict[int, int]:
+        """Counts of the terms, and of all words under the number after the last term; nothing for a text without terms."""
         out: dict[int, int] = {}
-        for word, n in word_counts(text).items():
+        words = word_counts(text)
+        for word, n in words.items():
             for term in self.of_word(word):
                 out[term] = out.get(term, 0) + n
+        if out:
+            out[len(self.number)] = words.total()
         return out
 
 
@@ -89,7 +94,7 @@ class Index:
     """Examples as unit vectors in blocks, with each term's largest weight in each block."""
 
     def __init__(self, names: list[str], weights: np.ndarray, vectors: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, nearest: int = NEAREST):
-        self.terms, self.weights, self.nearest = Terms(names), weights, nearest
+        self.terms, self.weights, self.nearest = Terms(names), np.append(weights, REST), nearest
         kept = [(self.unit(v), int(y), int(i)) for v, y, i in zip(vectors, labels, ids)]
         self.mean = float(np.mean(labels)) if len(labels) else 0.0
         self.n = len(kept)
@@ -113,19 +118,19 @@ class Index:
         self.max_term = np.array([k[0] for k in keys], dtype=np.int64)
         self.max_block = np.array([k[1] for k in keys], dtype=np.int64)
         self.max_value = np.array([best[k] for k in keys])
-        self.first = np.searchsorted(self.max_term, np.arange(len(names) + 1))
+        self.first = np.searchsorted(self.max_term, np.arange(len(names) + 2))
         self.steps = (np.zeros(1), np.zeros(1))
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), dtype=np.int64)
         if not len(terms):
             return terms, np.zeros(0)
-        value = (1 + np.log([counts[t] for t in terms.tolist()])) * self.weights[terms]
+        value = np.log1p([counts[t] for t in terms.tolist()]) * self.weights[terms]
         norm = math.sqrt(float(value @ value))
         return (terms, value / norm) if norm > 0 else (terms[:0], value[:0])
 
     def neighbours(self, query: tuple[np.ndarray, np.ndarray], without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest, largest first, ties by doc_id; only those with a term in common."""
+        """(cosine, example) of the nearest, largest first, ties by doc_id; none for a text without terms."""
         terms, values = query
         if not len(terms) or not self.blocks:
             return []
