@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystead.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from keystead.llm import bpe, decontaminate, exact_dedup, phrases, simhash, toxicity
 from keystead.llm.common import table
 from keystead.llm.sql import SQL
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.drop("key", "spans")
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
+    "op4_phrases": op4_phrases,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
