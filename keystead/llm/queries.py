@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystead.llm import bpe, decontaminate, exact_dedup, phrases, simhash, toxicity
+from keystead.llm import bpe, decontaminate, exact_dedup, phrases, reshard, simhash, toxicity
 from keystead.llm.common import table
 from keystead.llm.sql import SQL
 
@@ -29,6 +29,10 @@ def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.assign(table(spark, sf_dir, "documents"), reshard.by_source())
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.drop("key", "spans")
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
     "op4_phrases": op4_phrases,
+    "op7_reshard": op7_reshard,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
