@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystead.llm import bpe, decontaminate, exact_dedup, phrases, reshard, simhash, toxicity
+from keystead.llm import bpe, decontaminate, exact_dedup, phrases, reshard, simhash, toxicity, wrappers
 from keystead.llm.common import table
 from keystead.llm.sql import SQL
 
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -48,6 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_wrappers": op2_wrappers,
     "op3_bpe": op3_bpe,
     "op4_phrases": op4_phrases,
     "op7_reshard": op7_reshard,
