@@ -121,4 +121,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shar
     """The rows of docs that are not contaminated, with all their columns."""
     bad = contamination(docs, items, window, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     bad = stage(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key")), "left_anti")
+    own = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_key"])
+    return docs.join(bad, own, "left_anti")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keystead.llm import bpe, decontaminate, exact_dedup, phrases, reshard, simhash, toxicity, wrappers
+from keystead.llm import bpe, decontaminate, exact_dedup, phrases, pii, reshard, simhash, toxicity, url_filter, wrappers
 from keystead.llm.common import table
 from keystead.llm.sql import SQL
 
@@ -33,6 +34,32 @@ def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched at a minute that its id sets, against a list kept by the events.
+
+    An event dates an entry for the page that has its user's number: errors block, signups
+    allow, other events take the rule off; the event's number chooses the kind of rule.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    host, segment = url_filter.host_of(F.col("url")), url_filter.segment_of(F.col("url"))
+    kind = F.element_at(F.array(*map(F.lit, url_filter.KINDS)), (F.col("event_id") % 3 + 1).cast("int"))
+    entries = events.join(pages.select(F.col("page_id").alias("user_id"), "url"), "user_id").select(
+        F.col("event_id").alias("entry_id"), kind.alias("kind"),
+        F.when(kind == "path", F.concat(host, F.lit("/"), segment)).when(kind == "host", host).otherwise(F.regexp_replace(host, r"^[^.]*\.", "")).alias("rule"),
+        F.when(F.col("event_type") == "error", "block").when(F.col("event_type") == "signup", "allow").otherwise("remove").alias("action"),
+        F.col("ts").cast("timestamp_ntz").alias("dated"),
+    )
+    captures = pages.withColumn("fetched_at", F.expr("timestampadd(MINUTE, cast(page_id * 7919 % 43200 as int), timestamp_ntz'2024-01-01 00:00:00')"))
+    form = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    found = url_filter.evaluate(captures, entries)
+    return found.withColumns({"fetched_at": F.date_format("fetched_at", form), "since": F.date_format("since", form)})
+
+
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.assign(table(spark, sf_dir, "documents"), reshard.by_source())
 
@@ -55,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op2_wrappers": op2_wrappers,
     "op3_bpe": op3_bpe,
     "op4_phrases": op4_phrases,
+    "op5_pii": op5_pii,
+    "op6_url_filter": op6_url_filter,
     "op7_reshard": op7_reshard,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,

@@ -140,4 +140,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
     best = rows.groupBy("component_id", group.alias("g")).agg(F.min(order).alias("best"))
     best = stage(best.select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key")), "representatives")
-    return docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key")), "left_semi")
+    own = docs["doc_id"].cast("long").eqNullSafe(best["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == best["_key"])
+    return docs.join(best, own, "left_semi")

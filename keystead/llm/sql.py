@@ -30,4 +30,31 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from n window w as (partition by norm order by n desc, doc_id nulls last, r)
 """
 
-SQL = {"op8_decontaminate": OP8, "op10_exact_dedup": OP10}
+OP6 = r"""
+with page as (
+    select row_number() over () as r, page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
+        regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) as seg,
+        timestamp '2024-01-01 00:00:00' + to_minutes(page_id * 7919 % 43200) as fetched_at
+    from pages),
+entry as (
+    select event_id, ts, case event_type when 'error' then 'block' when 'signup' then 'allow' else 'remove' end as action,
+        case event_id % 3 when 0 then 'domain:' || lower(regexp_replace(host, '^[^.]*\.', '')) when 1 then 'host:' || lower(host) else 'path:' || lower(host || '/' || seg) end as key
+    from events join page on page_id = user_id),
+one as (select key, ts, arg_max(action, event_id) as action from entry group by key, ts),
+span as (select key, action, ts as since, lead(ts) over (partition by key order by ts) as until from one),
+label as (select r, string_split(host, '.') as l from page where host <> ''),
+asked as (
+    select r, n as rank, 'domain:' || array_to_string(l[len(l) - n + 1 :], '.') as key from label, unnest(range(1, len(l) + 1)) as u(n)
+    union all select r, 1000, 'host:' || host from page where host <> ''
+    union all select r, 2000, 'path:' || host || '/' || seg from page where host <> ''),
+met as (
+    select p.r, rank, s.key, action, since from asked a join page p using (r) join span s on a.key = s.key
+    where since <= fetched_at and (until is null or fetched_at < until) and action in ('block', 'allow')),
+best as (select r, arg_max(action, rank) as action, arg_max(key, rank) as key, max(since) filter (rank = top) as since
+    from (select *, max(rank) over (partition by r) as top from met) group by r)
+select page_id, url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S.%f') as fetched_at, coalesce(action, 'none') as verdict, key as rule,
+    strftime(since, '%Y-%m-%d %H:%M:%S.%f') as since
+from page left join best using (r)
+"""
+
+SQL = {"op6_url_filter": OP6, "op8_decontaminate": OP8, "op10_exact_dedup": OP10}
