@@ -139,14 +139,15 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = SHARDS, capacities:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
     """Write the new shards that gain or lose rows under path, by shard; the others stay as they are.
 
-    `docs` must have unique doc_ids; returns (shard, n_rows, n_bytes) of what was written.
+    `docs` must have unique doc_ids; own columns shard and slot give way.  Returns (shard, n_rows, n_bytes) of what was written.
     """
     stays = F.col("old_shard") == F.col("shard")
     changed = placed.groupBy("shard").agg(F.min(stays).alias("same"), F.sum("size").alias("now"), F.first("shard").alias("s"))
     lost = placed.where(~stays).select(F.col("old_shard").alias("s")).distinct().withColumn("lost", F.lit(True))
     affected = stage(changed.join(lost, "s", "left").where(~F.col("same") | F.col("lost").isNotNull()).select(F.col("s").alias("hit")), "affected")
-    where = placed.join(F.broadcast(affected), F.col("shard") == F.col("hit")).select(F.col("doc_id").alias("_id"), "shard", "slot")  # a row a shard
-    out = docs.join(where, F.col("doc_id") == F.col("_id")).drop("_id")
+    where = placed.join(F.broadcast(affected), F.col("shard") == F.col("hit")).select("doc_id", "shard", "slot").toDF("w_id", "w_shard", "w_slot")  # a row a shard
+    own = [docs[n] for n in docs.columns if n not in ("shard", "slot")]
+    out = docs.join(where, docs["doc_id"] == where["w_id"]).select(*own, where["w_shard"].alias("shard"), where["w_slot"].alias("slot"))
     out.repartition("shard", (F.col("slot") / 100_000).cast("long")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     written = docs.sparkSession.read.parquet(path)
     return written.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length(text_or_empty()) + 1).alias("n_bytes"))
