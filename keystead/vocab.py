@@ -192,7 +192,6 @@ ERROR_ALERT_THRESHOLD = 5
 # --- fixed values: duplicate score, in hundredths ------------------------------------------
 DUP_BUILDING_TYPES = ["mansion", "investmentapartment", "tochi"]
 DUP_LINK_AT = 85
-DUP_LOOKBACK = 1000
 DUP_ADDRESS_EQUAL, DUP_ADDRESS_STEPS = 50, [(0.85, 35), (0.70, 20)]
 DUP_AREA_STEPS = [(0.01, 30), (0.03, 20), (0.07, 10)]
 DUP_PRICE_STEPS = [(0.01, 20), (0.03, 15), (0.07, 10), (0.15, 5)]
