@@ -142,3 +142,14 @@ def test_decode(spark, charset, declared):
     text = "東京都の中古マンション" * 100
     df = spark.createDataFrame([(bytearray(text.encode(charset)),)], "content binary")
     assert df.select(extract.decode_page("content", declared)).first()[0] == text
+
+
+def test_long_pages_do_not_end_the_jvm(one):
+    """10^5 tags, with and without dd."""
+    tags = "<span>x</span>" * 50_000
+    assert one(html.label_pairs, "<dl><dt>a</dt>" + tags + "</dl>") == []
+    assert one(html.label_pairs, "<dl>" + "<dt>a</dt>" * 50_000 + "</dl>") == []
+    gap = "<i></i>" * 50_000
+    assert [tuple(p) for p in one(html.label_pairs, f"<dl><dt>a</dt>{gap}<dt>b：</dt> <dd>c</dd><dd>d</dd></dl>")] == [("list", "a", "c"), ("list", "b", "c")]
+    rows = "<dt>k</dt><dd>v</dd>" * 30_000
+    assert len(one(html.label_pairs, f"<dl>{rows}</dl>")) == 30_000
