@@ -21,7 +21,7 @@ HEADLINE = [
     "municipality_lookup", "land_blend", "land_price_contains", "trades_to_land_prices", "market_master", "market_lookup",
     "bargains", "features", "investment_scores",
     "t_score", "validity_report", "recommend", "daily_budget", "error_report", "upsert_land_prices", "iqr_clean",
-    "dup_links", "dup_links_sequence",
+    "dup_links", "dup_links_sequence", "dup_roots", "isolation_forest",
     "page_links", "page_status", "next_pages", "extract_listings", "page_images", "state_values",
     "stream_counts", "stream_budget",
 ]

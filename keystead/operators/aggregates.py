@@ -72,10 +72,10 @@ def trades_to_land_prices(trades: DataFrame, prefecture: Column) -> DataFrame:
     return public_prices(mean)
 
 
-def score_statistics(evaluations: DataFrame) -> DataFrame:
+def score_statistics(evaluations: DataFrame, min_rows: int = 0) -> DataFrame:
     """Mean, population deviation and count of the scores, income property and homes apart.
 
-    Completed, non-duplicate rows only; fewer than ten rows give the defaults.
+    Completed, non-duplicate rows only; fewer than ``min_rows`` rows, or no spread, give the defaults.
     Two rows at most, so the result may be broadcast.
     """
     total, simple = F.col("total_investment_score"), F.col("investment_score")
@@ -92,7 +92,7 @@ def score_statistics(evaluations: DataFrame) -> DataFrame:
         .groupBy("s.is_investment")
         .agg(F.avg("s.score").alias("m"), F.stddev_pop("s.score").alias("sd"), F.count(F.lit(1)).alias("n"))
     )
-    enough = F.col("n") >= vocab.SCORE_MIN_N
+    enough = F.col("n") >= min_rows
     return known.select(
         "is_investment",
         F.when(enough, F.col("m")).otherwise(vocab.SCORE_MEAN_DEFAULT).alias("mean"),

@@ -291,23 +291,26 @@ def error_rows(rejected: DataFrame, model: Column, ts: Column) -> DataFrame:
     )
 
 
-def decode_page(content: Column | str, charset: Column | str, fallback: str = "utf-8", min_chars: int = 1000) -> Column:
+def decode_page(content: Column | str, charset: Column | str, fallback: str = "utf-8") -> Column:
     """Page bytes to text by the charset of the site.
 
-    When that gives broken or very short text the fallback charset is used.  The
-    JVM decoder knows no Japanese charsets, so this is an Arrow step.
+    UTF-8 pages are decoded in the JVM, which knows no Japanese charsets: only pages of
+    other charsets pass an Arrow step.  Text that comes out broken (U+FFFD) is decoded
+    by the fallback charset instead, unless that is broken as well.
     """
+    raw, names = (F.col(content) if isinstance(content, str) else content), F.lower(F.lit(charset) if isinstance(charset, str) else charset)
+    utf_8 = ("utf-8", "utf8", "")
+
+    def plain() -> Column:
+        return F.make_valid_utf8(raw.cast("string"))
+
     @F.pandas_udf("string")
-    def decode(raw: pd.Series, names: pd.Series) -> pd.Series:
-        def one(b, name):
-            if b is None:
-                return None
-            text = b.decode(name or fallback, errors="replace")
-            if "\ufffd" in text or len(text) < min_chars:
-                text = b.decode(fallback, errors="replace")
-            return text
-
-        return pd.Series([one(b, n) for b, n in zip(raw, names)], dtype="object")
-
-    names = F.lit(charset) if isinstance(charset, str) else charset
-    return decode(F.col(content) if isinstance(content, str) else content, names)
+    def by_name(pages: pd.Series, charsets: pd.Series) -> pd.Series:
+        texts = [None if b is None else b.decode(n, errors="replace") for b, n in zip(pages, charsets)]
+        return pd.Series(texts, dtype="object")
+
+    other = names.isNotNull() & ~names.isin(*utf_8)
+    declared = F.when(other, by_name(F.when(other, raw), names)).otherwise(plain())
+    second = plain() if fallback.lower() in utf_8 else by_name(raw, F.lit(fallback))
+    broken = lambda t: F.contains(t, F.lit("\ufffd"))
+    return let(declared, lambda t: F.when(broken(t) & ~broken(second), second).otherwise(t))

@@ -20,8 +20,8 @@ DONE = "analysis_status = 'completed' and duplicate_of is null"
 
 STATS_SQL = f"""scores as (select true as is_investment, total_investment_score as s from evaluation where {DONE} and total_investment_score is not null
   union all select false, investment_score from evaluation where {DONE} and investment_score is not null),
-stats as (select is_investment, case when count(*) >= 10 then avg(s) else 55.0 end as mean,
-  case when count(*) >= 10 and stddev_pop(s) > 0 then stddev_pop(s) else 12.0 end as sd, count(*) as n from scores group by 1)"""
+stats as (select is_investment, avg(s) as mean,
+  case when stddev_pop(s) > 0 then stddev_pop(s) else 12.0 end as sd, count(*) as n from scores group by 1)"""
 
 
 @query("score_stats", f"""{cte("evaluation")}, {STATS_SQL}

@@ -318,7 +318,7 @@ lines as (select listing_id, line + 1 as idx, arg_max(open_, i) as l from walkth
 plain_ as (select *, {asc("l")} as n, contains(l, 'バス') as bus,
     regexp_matches(l, '^(.*?){SPACE}*[「『（(]([^」』）)]+)[」』）)]') as br,
     regexp_matches(l, '^(.*?){SPACE}+([^{SPACE[1:-1]}]+?)駅') as gap,
-    {trim("regexp_replace(l, '(?:徒歩|停歩|バス).*$', '')")} as pl from lines where idx <= 5),
+    {trim("regexp_replace(l, '(?:徒歩|停歩|バス).*$', '')")} as pl from lines),
 worded as (select *, case when contains(pl, '・') and contains(pl, '駅') then string_split(pl, '・')
     else string_split_regex(pl, '{SPACE}+') end as w,
     try_cast({rex("n", "(?:徒歩|停歩)" + SPACE + "*([0-9]+)" + SPACE + "*分")} as int) as walk,
@@ -348,7 +348,7 @@ def traffic_spaced(spark, sf):
 
 # --- structure, road, rights ---------------------------------------------------------------
 
-CLASS_SQL = f"""(case when {has("u", ["RC", "鉄筋コンクリート"])} then 'RC' when {has("u", ["SRC", "鉄骨鉄筋"])} then 'SRC'
+CLASS_SQL = f"""(case when {has("u", ["SRC", "鉄骨鉄筋"])} then 'SRC' when {has("u", ["RC", "鉄筋コンクリート"])} then 'RC'
   when {has("u", ["鉄骨", "Ｓ造"])} and {has("u", ["軽量"])} then 'LS' when {has("u", ["鉄骨", "Ｓ造"])} then 'S'
   when {has("u", ["木", "Ｗ造"])} then 'W' else 'default' end)"""
 ASSET_CLASS_SQL = f"""(case when {has("u", ["SRC", "鉄骨鉄筋"])} then 'SRC' when {has("u", ["RC", "鉄筋コン"])} then 'RC'
@@ -357,7 +357,7 @@ ASSET_CLASS_SQL = f"""(case when {has("u", ["SRC", "鉄骨鉄筋"])} then 'SRC'
 
 @query("structure_class", f"""{LISTING}, t as (select *, upper(kouzou) as u from listing)
 select listing_id, {CLASS_SQL} as cost_class, {ASSET_CLASS_SQL} as asset_class,
-  (case when {has("kouzou", ["鉄筋コンクリート"])} then 'ＲＣ造' when {has("kouzou", ["鉄骨"])} then 'Ｓ造'
+  (case when {has("kouzou", ["鉄骨鉄筋コンクリート", "SRC", "ＳＲＣ"])} then 'ＳＲＣ造' when {has("kouzou", ["鉄筋コンクリート"])} then 'ＲＣ造' when {has("kouzou", ["鉄骨"])} then 'Ｓ造'
     when {has("kouzou", ["木造"])} then '木造' when {has("kouzou", ["RC", "ＲＣ"])} then 'ＲＣ造'
     when {has("kouzou", ["S", "Ｓ"])} then 'Ｓ造' else '' end) as label,
   {values(CLASS_SQL, vocab.COST_UNIT)} as cost_unit, {values(ASSET_CLASS_SQL, vocab.ASSET_LIFE)} as asset_life from t""")

@@ -172,7 +172,7 @@ STATE_SYNONYMS = {
 
 # --- fixed values: screening ------------------------------------------------------------
 T_SCORE_ALERT = 73.3
-SCORE_MEAN_DEFAULT, SCORE_SD_DEFAULT, SCORE_MIN_N = 55.0, 12.0, 10
+SCORE_MEAN_DEFAULT, SCORE_SD_DEFAULT = 55.0, 12.0
 RECOMMEND_SCORE = 60.0
 DISCOUNT_MIN, DISCOUNT_MAX = 15.0, 40.0
 APARTMENT_CODES = ["investapartment", "investmentapartment", "apartment", "investment"]
@@ -210,8 +210,6 @@ NO_IMAGE_COMMENT = "画像なしのため判定不能"
 
 # --- fixed values: training --------------------------------------------------------------------
 IQR_FACTOR = 2.5
-MIN_ROWS_FOR_IQR = 20
-MIN_ROWS_FOR_FOREST = 100
 FOREST_CONTAMINATION = 0.02
 ENSEMBLE_WEIGHTS = {
     "mansion": {"lgb": 0.35, "xgb": 0.35, "cat": 0.15, "rf": 0.15},

@@ -135,7 +135,7 @@ def test_routes(one):
     # torn into fragments and put together again
     assert routes(one, "京王井の頭線 / 久我山駅 / 徒歩7分") == [("京王井の頭線", "久我山", 7)]
     assert one(traffic.routes, "") is None
-    assert len(one(traffic.routes, " / ".join(f"A線 B{i}駅 徒歩{i}分" for i in range(1, 8)))) == 5
+    assert len(one(traffic.routes, " / ".join(f"A線 B{i}駅 徒歩{i}分" for i in range(1, 8)))) == 7
 
 
 def test_bus_route(one):
@@ -158,11 +158,23 @@ def test_spaced_routes(one):
     assert spaced(one, "なし") == []
 
 
-@cases(("RC造", "RC"), ("木造2階建", "W"), ("軽量鉄骨造", "LS"), ("重量鉄骨造", "S"), ("SRC造", "RC"), (None, "default"), ("鉄骨鉄筋", "SRC"))
+@cases(("RC造", "RC"), ("木造2階建", "W"), ("軽量鉄骨造", "LS"), ("重量鉄骨造", "S"), ("SRC造", "SRC"), ("鉄骨鉄筋コンクリート造", "SRC"), (None, "default"), ("鉄骨鉄筋", "SRC"))
 def test_structure(one, given, want):
     assert one(road.structure_class, given) == want
 
 
+def test_structure_label(one):
+    assert [one(road.structure_label, t) for t in ("鉄骨鉄筋コンクリート造", "SRC", "鉄筋コンクリート", "鉄骨造", "木造")] == ["ＳＲＣ造", "ＳＲＣ造", "ＲＣ造", "Ｓ造", "木造"]
+    literal = lambda c: road.structure_label(c, compat=True)
+    assert one(literal, "鉄骨鉄筋コンクリート造") == "ＲＣ造"
+    assert one(lambda c: road.structure_class(c, compat=True), "SRC造") == "RC"
+
+
+def test_all_routes_are_kept(one):
+    text = "  ".join(f"山手線「駅{i}」徒歩{i}分" for i in range(1, 8))
+    assert len(one(traffic.routes, text)) == 7
+
+
 @cases(("RC造", "RC"), ("木造2階建", "W"), ("軽量鉄骨造", "S"), (None, "W"), ("鉄骨鉄筋コンクリート", "SRC"), ("レンガ", "W"))
 def test_structure_investment(one, given, want):
     assert one(road.structure_class_investment, given) == want
