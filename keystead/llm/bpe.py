@@ -17,6 +17,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,11 @@ from keystead.llm.lexicon import Lexicon, compile_lexicon
 LEXICON_WORDS = 200_000  # words of the transducer
 LEXICON_BYTES = 64  # longer words are merged
 MEMO = 400_000  # stretches of text a task remembers at most
-PIECE = 1 << 22  # characters of a text taken at once
+PIECE = 1 << 20  # characters taken at once
+SIDE_BY_SIDE = 48  # bytes of the longest words that are merged together
+SLOT_BITS = 20  # of the table of merges
+HASH = 0x1E3779B97F4A7C15
+NEVER = 2**31 - 1
 
 # Unicode's white space, and the pattern that splits text before merging.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -82,6 +87,68 @@ class Merges:
         names = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.digits = [str(i) for i in range(size)]
+        self._fill()
+
+    def _pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of pairs (left << 32 | right); NEVER where there is no such merge."""
+        slot = (keys * HASH).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        rank = np.full(keys.shape, NEVER, dtype=np.int32)
+        whole = np.zeros(keys.shape, dtype=np.int32)
+        left = np.arange(len(keys))
+        at = slot.astype(np.int64)
+        while len(left):
+            found = self.slots[at]
+            hit = found == keys[left]
+            rank[left[hit]], whole[left[hit]] = self.ranks[at[hit]], self.wholes[at[hit]]
+            go = ~hit & (found >= 0)  # the slot holds another pair: try the next one
+            left, at = left[go], (at[go] + 1) & (len(self.slots) - 1)
+        return rank, whole
+
+    def _fill(self) -> None:
+        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
+        self.ranks, self.wholes = (np.zeros(1 << SLOT_BITS, dtype=np.int32) for _ in range(2))
+        keys = np.array([a << 32 | b for a, b in self.rank], dtype=np.int64)
+        first = ((keys * HASH).view(np.uint64) >> np.uint64(64 - SLOT_BITS)).tolist()
+        for at, key, (rank, whole) in zip(first, keys.tolist(), self.rank.values()):
+            while self.slots[at] >= 0:
+                at = (at + 1) & (len(self.slots) - 1)
+            self.slots[at], self.ranks[at], self.wholes[at] = key, rank, whole
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many words, merged side by side; long words one by one."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda n: len(words[n]))
+        while order and len(words[order[-1]]) > SIDE_BY_SIDE:
+            n = order.pop()
+            out[n] = self.merge(words[n])
+        single = np.array(self.single, dtype=np.int64)
+        for begin in range(0, len(order), 2048):
+            rows = order[begin : begin + 2048]
+            sizes = np.array([len(words[n]) for n in rows])
+            width = int(sizes[-1])
+            if not width:
+                continue
+            flat = single[np.frombuffer(b"".join(words[n] for n in rows), np.uint8)]
+            ids = np.full((len(rows), width + 1), -1, dtype=np.int64)
+            ids[np.arange(width + 1) < sizes[:, None]] = flat
+            open_ = np.arange(len(rows))
+            while len(open_) and ids.shape[1] > 1:
+                own = ids[open_]
+                real = own[:, 1:] >= 0
+                rank = np.full(real.shape, NEVER, dtype=np.int32)
+                whole = np.zeros(real.shape, dtype=np.int32)
+                rank[real], whole[real] = self._pairs((own[:, :-1] << 32 | own[:, 1:])[real])
+                j = rank.argmin(axis=1)  # the leftmost of the lowest rank
+                more = rank[np.arange(len(j)), j] < NEVER
+                open_, own, j, whole = open_[more], own[more], j[more], whole[more]
+                columns = np.arange(own.shape[1] - 1)
+                moved = np.take_along_axis(own, columns + (columns > j[:, None]), axis=1)
+                moved[np.arange(len(j)), j] = whole[np.arange(len(j)), j]
+                ids[open_, :-1] = moved
+                ids[open_, -1] = -1
+            for n, row in zip(rows, ids.tolist()):
+                out[n] = row[: row.index(-1)]
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of lowest rank, the leftmost of them, is merged until none is left."""
@@ -126,54 +193,57 @@ class Encoder:
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.starts, self.ends, self.used = [], [], 0
+        self.memo: dict[str, list[int]] = {}
 
-    def learn(self, stretches: list[str]) -> None:
+    def learn(self, stretches: set[str]) -> None:
         """Remember the ids of stretches that are new."""
-        split = [[s.encode()] if s.removeprefix(" ").isalpha() else [w.encode() for w in WORD.findall(s)] for s in stretches]
-        words = list({w for ws in split for w in ws})
+        single = {s: s.encode() for s in stretches if s.removeprefix(" ").isalpha()}
+        split = {s: [w.encode() for w in WORD.findall(s)] for s in stretches if s not in single}
+        words = list({*single.values(), *chain.from_iterable(split.values())})
         places = self.lexicon.places(words).tolist() if words else []
-        ids = {w: self.lexicon.ids_at(p).tolist() if p >= 0 else self.merges.merge(w) for w, p in zip(words, places)}
-        for stretch, ws in zip(stretches, split):
-            own = [i for w in ws for i in ids[w]]
-            end = self.used + len(own)
-            if end > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(own)), dtype=np.int32)])
-            self.pool[self.used : end] = own
-            self.memo[stretch] = len(self.starts)
-            self.starts.append(self.used)
-            self.ends.append(end)
-            self.used = end
-
-    def plain(self, text: str) -> Iterator[np.ndarray]:
-        for piece in text_pieces(text):
-            stretches = STRETCH.findall(piece)
-            if not stretches:
-                continue
-            if new := list(set(stretches).difference(self.memo)):
-                if len(self.memo) + len(new) > MEMO:
-                    self.forget()
-                    new = list(set(stretches))
-                self.learn(new)
-            codes = list(map(self.memo.__getitem__, stretches))
-            starts = np.fromiter(map(self.starts.__getitem__, codes), np.int64, len(codes))
-            sizes = np.fromiter(map(self.ends.__getitem__, codes), np.int64, len(codes)) - starts
-            first = np.cumsum(sizes) - sizes
-            yield self.pool[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))]
-
-    def encode(self, text: str) -> np.ndarray:
-        parts = []
-        for part in self.merges.specials.split(text) if self.merges.specials else [text]:
-            if part in self.merges.special:
-                parts.append(np.array([self.merges.special[part]], dtype=np.int32))
-            else:
-                parts.extend(self.plain(part))
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        unseen = [w for w, p in zip(words, places) if p < 0]
+        ids = dict(zip(unseen, self.merges.merge_all(unseen)))
+        ids.update((w, self.lexicon.ids_at(p).tolist()) for w, p in zip(words, places) if p >= 0)
+        self.memo.update((s, ids[w]) for s, w in single.items())
+        self.memo.update((s, list(chain.from_iterable(map(ids.__getitem__, ws)))) for s, ws in split.items())
+
+    def known(self, stretches: list[list[str]]) -> None:
+        new = set(chain.from_iterable(stretches)).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = set(chain.from_iterable(stretches))
+        self.learn(new)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of some texts; long ones are cut and go by themselves."""
+        special, specials = self.merges.special, self.merges.specials
+        out: list[list[int]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        held = 0
+
+        def flush() -> None:
+            self.known([s for _, s in waiting])
+            for n, stretches in waiting:
+                out[n].extend(chain.from_iterable(map(self.memo.__getitem__, stretches)))
+            waiting.clear()
+
+        for n, text in enumerate(texts):
+            for part in specials.split(text) if specials else [text]:
+                if part in special:
+                    flush()
+                    out[n].append(special[part])
+                    continue
+                for piece in text_pieces(part):
+                    waiting.append((n, STRETCH.findall(piece)))
+                    held += len(piece)
+                    if held > PIECE:
+                        flush()
+                        held = 0
+        flush()
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
 
 _loaded: dict[str, object] = {}  # of a worker process: the last tokenizer and the last encoder
@@ -213,14 +283,14 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> byte
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = merges_of(path)
         for batch in batches:
-            ids = [merges.merge(w) for w in batch.column(0).to_pylist()]
+            ids = merges.merge_all(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     rows = top.select("word").repartition(shuffle_shards(docs.sparkSession)).mapInArrow(work, "word binary, ids array<int>").toArrow()
     return compile_lexicon(dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())))
 
 
-def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows: int = 512) -> DataFrame:
     """(doc_id, ids) for every row of (doc_id, text)."""
     data = build_lexicon(docs, path) if lexicon is None else lexicon
     shared, name = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
@@ -232,9 +302,9 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows:
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
-                rows = [encoder.encode(t) for t in part.column(1).to_pylist()]
+                rows = encoder.encode_all(part.column(1).to_pylist())
                 ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
-                flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
