@@ -66,6 +66,8 @@ def test_site_aliases_go_first(spark, page):
 
 def test_parse_pages(page):
     ok, bad = parse_pages(page)
+    assert ok.isEmpty() and bad.first()["reasons"] == ["area_missing"]  # the page has no area
+    ok, bad = parse_pages(page, strict=False)
     r = ok.first()
     assert (r["price_yen"], r["address2"], r["station1"], r["walk_min1"]) == (54800000, "世田谷区", "成城学園前", 3)
     assert bad.isEmpty()
@@ -137,11 +139,12 @@ def test_error_rows(spark):
     assert (r["company_type"], r["reason"], len(r["file"])) == ("mitsui_investment_kodate", "price, address", 64)
 
 
-@pytest.mark.parametrize("charset,declared", [("cp932", "cp932"), ("euc-jp", "euc-jp"), ("utf-8", "ascii")])
-def test_decode(spark, charset, declared):
-    text = "東京都の中古マンション" * 100
+@pytest.mark.parametrize("n", [1, 100])
+@pytest.mark.parametrize("charset,declared", [("cp932", "cp932"), ("euc-jp", "euc-jp"), ("utf-8", "ascii"), ("utf-8", "UTF-8"), ("utf-8", None)])
+def test_decode(spark, charset, declared, n):
+    text = "東京都の中古マンション" * n
     df = spark.createDataFrame([(bytearray(text.encode(charset)),)], "content binary")
-    assert df.select(extract.decode_page("content", declared)).first()[0] == text
+    assert df.select(extract.decode_page("content", F.lit(declared).cast("string"))).first()[0] == text
 
 
 def test_long_pages_do_not_end_the_jvm(one):
