@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import shuffle_shards, text_or_empty
+from keystead.llm.common import shuffle_shards, slices, text_or_empty
 from keystead.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 200_000  # words of the transducer
@@ -299,13 +299,12 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows:
         if _loaded.get("lexicon") != (path, name):
             _loaded.update(lexicon=(path, name), encoder=Encoder(merges_of(path), Lexicon(shared.value)))
         encoder = _loaded["encoder"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                rows = encoder.encode_all(part.column(1).to_pylist())
-                ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
+        for part in slices(batches, batch_rows):
+            rows = encoder.encode_all(part.column(1).to_pylist())
+            ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
+        encoder.memo.clear()  # the worker lives on, for other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(work, "doc_id long, ids array<int>")

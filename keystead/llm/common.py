@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,22 @@ def pieces(data: bytes, size: int = LONG_TEXT) -> Iterator[bytes]:
     yield data[start:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def text_chunks(text: str) -> Iterator[str]:
+    """The text itself if it is short, else pieces cut at white space."""
+    if len(text) <= LONG_TEXT // 4:
+        yield text
+    else:
+        yield from (p.decode("utf-8", "replace") for p in pieces(text.encode("utf-8", "replace")))
+
+
 def prefix_bitmap(fingerprints: DataFrame, column: str, bits: int) -> DataFrame:
     """(slot, word): the set of the leading `bits` bits of a long column, 64 to a row.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import pieces, text_or_empty
+from keystead.llm.common import slices, text_chunks, text_or_empty
 from keystead.session import stage
 
 EXAMPLES = 20_000  # labelled rows that are learned from
@@ -40,6 +40,7 @@ SUREST = 4.0  # least z of a term
 BEGINNINGS = (4, 5, 6)  # letters of word beginnings that are terms too
 BLOCK = 64  # examples of a block
 NEAREST = 15
+REMEMBERED = 200_000  # words of which a task knows the terms
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 REST = 1.0  # weight of the words that are no terms, taken together as one
@@ -52,11 +53,10 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % FOLDS, F.lit(0))
 
 
-def word_counts(text: str) -> Counter[str]:
-    counts: Counter[str] = Counter()
-    for piece in pieces(text.encode("utf-8", "replace")):
-        counts.update(TOKEN.findall(piece.decode("utf-8", "replace").lower()))
-    return counts
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of a text, in lists that don't grow with it."""
+    for chunk in text_chunks(text):
+        yield TOKEN.findall(chunk.lower())
 
 
 def word_terms(word: str) -> list[str]:
@@ -64,29 +64,50 @@ def word_terms(word: str) -> list[str]:
 
 
 class Terms:
-    """Numbers of the kept terms, looked up by word; the memory of words is bounded."""
+    """Numbers of the kept terms by word; what is remembered of words is bounded."""
 
     def __init__(self, names: list[str]):
         self.number = {t: i for i, t in enumerate(names)}
-        self.memo: dict[str, list[int]] = {}
+        self.barren: set[str] = set()  # words without terms: nearly all
+        self.fruitful: dict[str, list[int]] = {}
+
+    def of_words(self, words: list[str]) -> dict[str, list[int]]:
+        """The words that have terms, and these."""
+        out = {}
+        for word in set(words).difference(self.barren):
+            found = self.fruitful.get(word)
+            if found is None:
+                found = [self.number[t] for t in word_terms(word) if t in self.number]
+                if len(self.barren) + len(self.fruitful) > REMEMBERED:
+                    self.forget()
+                if found:
+                    self.fruitful[word] = found
+                else:
+                    self.barren.add(word)
+            if found:
+                out[word] = found
+        return out
+
+    def forget(self) -> None:
+        self.barren.clear()
+        self.fruitful.clear()
 
-    def of_word(self, word: str) -> list[int]:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            found = self.memo[word] = [self.number[t] for t in word_terms(word) if t in self.number]
-        return found
+    def of_text(self, text: str) -> set[int]:
+        return {t for words in word_lists(text) for terms in self.of_words(words).values() for t in terms}
 
     def counts(self, text: str) -> dict[int, int]:
         """Counts of the terms, and of all words under the number after the last term; nothing for a text without terms."""
         out: dict[int, int] = {}
-        words = word_counts(text)
-        for word, n in words.items():
-            for term in self.of_word(word):
-                out[term] = out.get(term, 0) + n
+        total = 0
+        for words in word_lists(text):
+            total += len(words)
+            if found := self.of_words(words):
+                counts = Counter(words)
+                for word, terms in found.items():
+                    for term in terms:
+                        out[term] = out.get(term, 0) + counts[word]
         if out:
-            out[len(self.number)] = words.total()
+            out[len(self.number)] = total
         return out
 
 
@@ -206,7 +227,8 @@ def pick_terms(rows: DataFrame, terms: int = TERMS) -> list[str]:
         clean: Counter[str] = Counter()
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update({t for w in word_counts(text) for t in word_terms(w)})
+                own = {w for words in word_lists(text) for w in words}
+                (toxic if label else clean).update({t for w in own for t in word_terms(w)})
         # what no toxic text has can't be a sign of one; its counts are not needed
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(toxic), pa.string()), "a": pa.array(list(toxic.values()), pa.int64()), "b": pa.array([0] * len(toxic), pa.int64())})
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(clean), pa.string()), "a": pa.array([0] * len(clean), pa.int64()), "b": pa.array(list(clean.values()), pa.int64())})
@@ -229,8 +251,7 @@ def document_counts(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                own = {t for w in word_counts(text) for t in terms.of_word(w)}
-                if own:
+                if own := terms.of_text(text):
                     counts[list(own)] += 1
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *used.tolist()], pa.int64()), "n": pa.array([n, *counts[used].tolist()], pa.int64())})
@@ -273,7 +294,7 @@ def scores(docs: DataFrame, labels: DataFrame, index: Index | None = None) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             out, near = [], []
             for text in batch.column(2).to_pylist():
                 score, found = index.score(text)
@@ -281,6 +302,7 @@ def scores(docs: DataFrame, labels: DataFrame, index: Index | None = None) -> Da
                 near.append([{"doc_id": int(index.ids[i]), "cosine": c, "toxic": int(index.labels[i])} for c, i in found])
             marks = pa.array([int(s >= THRESHOLD) for s in out], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), marks, pa.array(near, kind)], names=["doc_id", "held_out", "score", "predicted", "neighbours"])
+        index.terms.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == HELD_OUT).alias("held_out"), text_or_empty().alias("text"))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, neighbours array<struct<doc_id:long,cosine:double,toxic:int>>")
@@ -293,8 +315,9 @@ def accepted(docs: DataFrame, labels: DataFrame, index: Index | None = None) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             keep = [index.score(t or "")[0] < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        index.terms.forget()
 
     return docs.mapInArrow(work, docs.schema)
