@@ -28,6 +28,7 @@ from keystead.session import stage
 
 QUOTIENT_BITS = 28  # leading bits of a fingerprint that choose its run
 ROUTE_BITS = 24  # leading bits of repeated fingerprints that send a row to verification
+BLOCKS = "shard long, block binary"
 HELD = 1 << 20  # fingerprints a task holds before it merges them into its filter
 
 
@@ -122,20 +123,25 @@ def partition_filters(fingerprints: DataFrame, column: str = "fp", shards: int |
     shards = shards or shuffle_shards(fingerprints.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting, n = [], [], 0
-        for batch in batches:
-            waiting.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
-            n += len(waiting[-1])
-            if n >= HELD:
-                held = [CountingFilter.merged([*held, CountingFilter.of(np.concatenate(waiting))])]
-                waiting, n = [], 0
-        if n:
-            held.append(CountingFilter.of(np.concatenate(waiting)))
-        if held:
-            for shard, block in CountingFilter.merged(held).split(shards):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "block": pa.array([block.to_bytes()], pa.binary())})
-
-    return fingerprints.select(F.col(column).cast("long")).mapInArrow(build, "shard long, block binary")
+        return filter_blocks((b.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64) for b in batches), shards)
+
+    return fingerprints.select(F.col(column).cast("long")).mapInArrow(build, BLOCKS)
+
+
+def filter_blocks(parts: Iterator[np.ndarray], shards: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of one task's filter over arrays of uint64 fingerprints."""
+    held, waiting, n = [], [], 0
+    for part in parts:
+        waiting.append(part)
+        n += len(part)
+        if n >= HELD:
+            held = [CountingFilter.merged([*held, CountingFilter.of(np.concatenate(waiting))])]
+            waiting, n = [], 0
+    if n:
+        held.append(CountingFilter.of(np.concatenate(waiting)))
+    if held:
+        for shard, block in CountingFilter.merged(held).split(shards):
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "block": pa.array([block.to_bytes()], pa.binary())})
 
 
 def merge_filters(blocks: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Removal of passages that an earlier document has: repeated-phrase automata.
 
+0.  A document whose whole text an earlier one has is a copy: it is one long passage, told
+    by digests, and needs no search.
 1.  Every window of 50 words has an anchor: the smallest hash of the word groups of
     half its length in it.  Equal windows have equal anchors.  Counting filters find
     the anchors that occur more than once; a bitmap of fixed size tells them.
@@ -33,15 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import pieces, prefix_bitmap, routed, shuffle_shards, text_or_empty
-from keystead.llm.exact_dedup import merge_filters, partition_filters, repeated_fingerprints
+from keystead.llm.common import pieces, prefix_bitmap, routed, shuffle_shards, slices, text_or_empty
+from keystead.llm.exact_dedup import BLOCKS, filter_blocks, merge_filters, repeated_fingerprints
 from keystead.session import stage
 
 WINDOW = 50
 ROUTE_BITS = 26  # the bitmap of recurring anchors: 8 MB whatever the input
 DOC_BITS = 22  # the bitmap of documents that own or need a passage
 PLACE_BITS = 40  # a place is a mark of the text above, the number of the word below
-MEMO = 500_000
+MEMO = 150_000
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -103,8 +105,29 @@ def windows(text: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return group_hashes(prefix, back, window), least
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
+def split_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, text) of the rows whose text no smaller doc_id has, and of the others.
+
+    All windows of a copy are in the document it copies, which alone has to be looked
+    at.  Digests say which texts repeat; only rows that may be among them move.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).withColumn("fp", F.xxhash64("text"))
+    sha = F.unhex(F.sha2("text", 256))
+    repeated = (
+        rows.where("doc is not null").groupBy("fp", sha.alias("sha")).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        .where("first < last").select(F.col("fp").alias("r_fp"), F.col("sha").alias("r_sha"), "first")
+    )
+    repeated = stage(repeated, "repeated")
+    bitmap = stage(prefix_bitmap(repeated.select("r_fp"), "r_fp", DOC_BITS), "texts")
+    once = routed(rows, "fp", bitmap, DOC_BITS, keep=False).select("doc", "text")
+    maybe = routed(rows, "fp", bitmap, DOC_BITS).withColumn("sha", sha)
+    maybe = stage(maybe.join(repeated, (F.col("fp") == F.col("r_fp")) & (F.col("sha") == F.col("r_sha")), "left").select("doc", "text", "first"), "copies")
+    copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
+    return once.unionByName(maybe.where(~copy).select("doc", "text")), maybe.where(copy).select("doc", "text")
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("doc").isNotNull()).select("doc", "text")
 
 
 def _mark(text: Column) -> Column:
@@ -112,32 +135,36 @@ def _mark(text: Column) -> Column:
     return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)), PLACE_BITS)
 
 
-def recurring_anchors(docs: DataFrame, window: int = WINDOW) -> bytes:
+def recurring_anchors(rows: DataFrame, window: int = WINDOW) -> bytes:
     """The bitmap of leading bits of anchors that are in more than one place."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros(0, dtype=np.uint64)]
+    shards = shuffle_shards(rows.sparkSession)
+
+    def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 anchors = windows(text, window)[1]
                 if len(anchors):
-                    found.append(np.unique(anchors[np.append(True, anchors[1:] != anchors[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["fp"])
+                    yield np.unique(anchors[np.append(True, anchors[1:] != anchors[:-1])])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from filter_blocks(anchors_of(batches), shards)
+        _hashes.clear()
 
-    merged = merge_filters(partition_filters(_known(docs).select("text").mapInArrow(work, "fp long")))
+    merged = merge_filters(_known(rows).select("text").mapInArrow(work, BLOCKS))
     slots = prefix_bitmap(repeated_fingerprints(merged), "fp", ROUTE_BITS).toArrow()  # 2 ** (ROUTE_BITS - 6) rows at most
     bits = np.zeros(1 << (ROUTE_BITS - 6), dtype=np.int64)
     bits[slots.column("slot").to_numpy()] = slots.column("word").to_numpy()
     return bits.tobytes()
 
 
-def window_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def window_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, doc, place) of every window whose anchor recurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(recurring_anchors(docs, window))
+    shared = rows.sparkSession.sparkContext.broadcast(recurring_anchors(rows, window))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             hs, ds, ps = [], [], []
             for doc, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 h, anchor = windows(text, window)
@@ -152,8 +179,9 @@ def window_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     hs, ds, ps = [], [], []
             if hs:
                 yield _places(hs, ds, ps)
+        _hashes.clear()
 
-    return _known(docs).withColumn("mark", _mark(F.col("text"))).mapInArrow(work, "h long, doc long, place long")
+    return _known(rows).withColumn("mark", _mark(F.col("text"))).mapInArrow(work, "h long, doc long, place long")
 
 
 def _places(hs: list, ds: list, ps: list) -> pa.RecordBatch:
@@ -177,18 +205,18 @@ def passages(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("h", "owner", "first"), stage(ends, "passages")
 
 
-def passage_texts(docs: DataFrame, ends: DataFrame, window: int = WINDOW) -> DataFrame:
+def passage_texts(sources: DataFrame, ends: DataFrame, window: int = WINDOW) -> DataFrame:
     """(owner, first, passage): the words of the passages, from the documents that own them."""
     per_doc = ends.groupBy(F.col("owner"), F.shiftright("first", PLACE_BITS).alias("tag")).agg(
         F.collect_list(F.struct("first", "last")).alias("spans"))
-    marked = _known(docs).withColumn("tag", F.shiftright(_mark(F.col("text")), PLACE_BITS)).withColumn("key", F.xxhash64("doc"))
+    marked = _known(sources).withColumn("tag", F.shiftright(_mark(F.col("text")), PLACE_BITS)).withColumn("key", F.xxhash64("doc"))
     bitmap = stage(prefix_bitmap(ends.select(F.xxhash64("owner").alias("key")), "key", DOC_BITS), "owners")
     rows = routed(marked, "key", bitmap, DOC_BITS).select("doc", F.col("tag").alias("t"), "text")
     joined = rows.join(per_doc, (F.col("doc") == F.col("owner")) & (F.col("t") == F.col("tag"))).select("owner", "spans", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (1 << PLACE_BITS) - 1
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for owner, spans, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.encode("utf-8", "replace").split()
@@ -260,20 +288,28 @@ KIND = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept stri
 def remove_repeated(docs: DataFrame, window: int = WINDOW, shards: int | None = None, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, one blank between) of every row."""
     shards = shards or 4 * shuffle_shards(docs.sparkSession)
-    places = stage(window_places(docs, window), "places")
+    sources, copies = split_copies(docs)
+    places = stage(window_places(sources, window), "places")
     owned, ends = passages(places)
     mine = owned.select(F.col("h").alias("oh"), "owner", "first")
     needs = stage(
         places.join(mine, (F.col("h") == F.col("oh")) & (F.col("doc") > F.col("owner"))).select("doc", "owner", "first").distinct(), "needs")
-    bodies = passage_texts(docs, ends, window).select(F.col("owner").alias("o"), F.col("first").alias("f"), "passage")
+    bodies = passage_texts(sources, ends, window).select(F.col("owner").alias("o"), F.col("first").alias("f"), "passage")
     sent = needs.join(bodies, (F.col("owner") == F.col("o")) & (F.col("first") == F.col("f"))).select("doc", "owner", "first", "passage")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).withColumn("key", F.xxhash64(F.coalesce("doc", F.lit(0))))
+    rows = sources.withColumn("key", F.xxhash64(F.coalesce("doc", F.lit(0))))
     bitmap = stage(prefix_bitmap(needs.select(F.xxhash64("doc").alias("key")), "key", DOC_BITS), "needy")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _result([_kept(d, t.encode("utf-8", "replace").split(), None, texts) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
+    def all_or_none(gone: bool):
+        """Rows that keep all their words, or lose them all if they fill a window."""
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                out = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = text.encode("utf-8", "replace").split()
+                    out.append(_kept(doc, words, np.ones(len(words), dtype=bool) if gone and len(words) >= window else None, texts))
+                yield _result(out)
+        return work
 
     def cut(own: pa.Table, need: pa.Table) -> pa.Table:
         keys = list(zip(need.column("owner").to_pylist(), need.column("first").to_pylist()))
@@ -288,10 +324,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, shards: int | None =
         return pa.Table.from_batches([_result(out)])
 
     shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).alias("shard")
-    untouched = routed(rows, "key", bitmap, DOC_BITS, keep=False).select("doc", "text").mapInArrow(whole, KIND)
+    untouched = routed(rows, "key", bitmap, DOC_BITS, keep=False).select("doc", "text").mapInArrow(all_or_none(False), KIND)
     touched = (
         routed(rows, "key", bitmap, DOC_BITS).select(shard, "doc", "text").groupBy("shard")
         .cogroup(sent.select(shard, "doc", "owner", "first", "passage").groupBy("shard"))
         .applyInArrow(cut, KIND)
     )
-    return untouched.unionByName(touched)
+    return untouched.unionByName(touched).unionByName(copies.mapInArrow(all_or_none(True), KIND))
