@@ -7,6 +7,10 @@ and texts that differ become slots.  The result is the host's wrapper, a regular
 expression without alternatives.  The wrapper decides which parts are the article;
 every page is aligned with it, and the texts of those parts are its main text.
 
+A host may have several templates.  Pages with a marked article, pages with a main
+element only and other pages have wrappers of their own, and a page that lacks the part
+that holds most of the varying text gets the part that holds most of the rest.
+
 Structures are counted in each task and by (host, structure) before any are aligned,
 a host's structures are aligned in ranges and the ranges then with each other, so a
 host with a third of the pages is no task's burden.  The pages themselves move only
@@ -21,7 +25,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -246,13 +250,13 @@ def _noise(item: list) -> bool:
     return tag in NOT_MAIN or any(w not in MAIN for w in words)
 
 
-def _variable(item: list, in_link: bool = False) -> int:
-    """Characters in slots that differ from page to page, outside links and noise."""
+def _variable(item: list, taken: Container[int] = (), in_link: bool = False) -> int:
+    """Characters in slots that differ from page to page, outside links, noise and what is taken."""
     if item[0] == SLOT:
         return item[2][2] if item[2][1] and not in_link else 0
-    if _noise(item):
+    if id(item) in taken or _noise(item):
         return 0
-    return sum(_variable(k, in_link or item[0] == "a") for k in item[2])
+    return sum(_variable(k, taken, in_link or item[0] == "a") for k in item[2])
 
 
 def _find(item: list, wanted) -> list[list]:
@@ -261,38 +265,60 @@ def _find(item: list, wanted) -> list[list]:
     return [item] if wanted(item) else [x for k in item[2] for x in _find(k, wanted)]
 
 
+def _marked(item: list) -> list[list]:
+    return _find(item, lambda k: k[0] == "article" or "articlebody" in k[0].split("."))
+
+
+def _main(item: list) -> list[list]:
+    return _find(item, lambda k: k[0].split(".")[0] == "main" or "main" in k[0].split("."))
+
+
+def kind(item: list) -> str:
+    """What the article of a structure is known by; structures of one kind have one wrapper."""
+    return "article" if _marked(item) else "main" if _main(item) else "varying"
+
+
 def choose(wrapper: list) -> list:
-    """The wrapper with a fourth field on every item: 1 for parts of the article.
+    """The wrapper with a fourth field on every item: a bit for each choice that it is part of.
 
     The article is what is marked as such; else the least element that holds most of
-    the text that differs from page to page.
+    the text that differs from page to page, then the one that holds most of the rest,
+    and so on: the lowest bit of a page is its article.
     """
-    found = _find(wrapper, lambda k: k[0] == "article" or "articlebody" in k[0].split(".")) or _find(wrapper, lambda k: k[0].split(".")[0] == "main" or "main" in k[0].split("."))
-    if not found:
-        whole, best = _variable(wrapper), wrapper
+    found = _marked(wrapper) or _main(wrapper)
+    choices = [found] if found else []
+    taken: set[int] = set()
+    while not found:
+        whole, best = _variable(wrapper, taken), wrapper
         while whole:
-            larger = [k for k in best[2] if k[0] != SLOT and _variable(k) > 0.8 * whole]
+            larger = [k for k in best[2] if k[0] != SLOT and _variable(k, taken) > 0.8 * whole]
             if not larger or larger[0][0].split(".")[0] in ("p", "span", "b", "i", "a", "li"):
                 break
             best = larger[0]
-        found = [best] if whole else _find(wrapper, lambda k: k[0] == "body") or [wrapper]
-    chosen = {id(k) for k in found}
-
-    def mark(item: list, inside: bool) -> list:
-        inside = inside or id(item) in chosen
+        if not whole:
+            choices.append(_find(wrapper, lambda k: k[0] == "body") or [wrapper])
+            break
+        choices.append([best])
+        taken.add(id(best))
+    bits: dict[int, int] = {}
+    for n, chosen in enumerate(choices):
+        for k in chosen:
+            bits[id(k)] = bits.get(id(k), 0) | 1 << n
+
+    def mark(item: list, inside: int) -> list:
+        inside |= bits.get(id(item), 0)
         if item[0] == SLOT:
-            return [SLOT, item[1], item[2], int(inside)]
-        header = item[0] == "header" and not inside
-        inside = inside and not _noise(item)
-        return [item[0], item[1], [mark(k, inside and not header) for k in item[2]], int(inside)]
+            return [SLOT, item[1], item[2], inside]
+        inside = 0 if _noise(item) else inside
+        return [item[0], item[1], [mark(k, inside) for k in item[2]], inside]
 
-    return mark(wrapper, False)
+    return mark(wrapper, 0)
 
 
 # --- applying ------------------------------------------------------------------
 
 def plan(node: Node, wrapper: list | None) -> list:
-    """For each kept child of a page's node: 1 or 0 for texts, a plan for elements."""
+    """For each kept child of a page's node: its choices for texts, a plan for elements."""
     if wrapper is None:
         return [0 if not sig else plan(child, None) for sig, child in node.folded]
     items = wrapper[2]
@@ -312,6 +338,23 @@ def plan(node: Node, wrapper: list | None) -> list:
     return out
 
 
+def _choices(how: list) -> int:
+    out = 0
+    for own in how:
+        out |= _choices(own) if isinstance(own, list) else own
+    return out
+
+
+def settled(how: list) -> list:
+    """The plan with 1 for the texts of the first choice that the page has, 0 for others."""
+    first = (found := _choices(how)) & -found
+
+    def walk(own: list) -> list:
+        return [walk(k) if isinstance(k, list) else int(bool(k & first)) for k in own]
+
+    return walk(how)
+
+
 def main_text(root: Node, how: list) -> str:
     """Texts of the article, block by block."""
     blocks: list[list[str]] = [[]]
@@ -397,16 +440,22 @@ def _hosts(pages: DataFrame) -> DataFrame:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of each host as JSON, its article marked."""
+    """(host, wrapper): the wrappers of each host by kind of page as JSON, their articles marked."""
 
     def merge(last: bool):
         def work(group: pa.Table) -> pa.Table:
             rows = sorted(zip(group.column("sig").to_pylist(), group.column("skeleton").to_pylist()))
-            whole = merge_wrappers([json.loads(s) for _, s in rows])
-            host = pa.array([group.column("host")[0].as_py()], pa.string())
+            kinds: dict[str, list[tuple[int, list]]] = {}
+            for sig, text in rows:
+                one = json.loads(text)
+                kinds.setdefault(kind(one), []).append((sig, one))
+            host = group.column("host")[0].as_py()
+            wholes = {k: merge_wrappers([w for _, w in own]) for k, own in kinds.items()}
             if last:
-                return pa.table({"host": host, "wrapper": pa.array([json.dumps(choose(whole))], pa.string())})
-            return pa.table({"host": host, "sig": pa.array([rows[0][0]], pa.int64()), "skeleton": pa.array([json.dumps(whole)], pa.string())})
+                return pa.table({"host": pa.array([host], pa.string()), "wrapper": pa.array([json.dumps({k: choose(w) for k, w in wholes.items()})], pa.string())})
+            return pa.table({
+                "host": pa.array([host] * len(wholes), pa.string()), "sig": pa.array([own[0][0] for own in kinds.values()], pa.int64()),
+                "skeleton": pa.array([json.dumps(w) for w in wholes.values()], pa.string())})
         return work
 
     parts = structures(pages).withColumn("salt", F.pmod("sig", F.lit(SALTS)))
@@ -421,7 +470,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     joined = rows.join(wrappers, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "wrapper")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, list] = {}
+        read: dict[str, dict[str, list]] = {}
         plans: dict[tuple[str, int], list] = {}
         for batch in batches:
             texts = []
@@ -434,8 +483,10 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
                         plans.clear()
                         read.clear()
                     if wrapper not in read:
-                        read[wrapper] = json.loads(wrapper) if wrapper else choose(merge_wrappers([skeleton(root)]))
-                    plans[key] = plan(root, read[wrapper])
+                        read[wrapper] = json.loads(wrapper) if wrapper else {}
+                    own = skeleton(root)
+                    how = read[wrapper].get(kind(own)) or choose(merge_wrappers([own]))
+                    plans[key] = settled(plan(root, how))
                 texts.append(main_text(root, plans[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -85,3 +85,18 @@ def test_many_structures_of_one_host(spark, n):
     pages = [("http://z.example/%d" % i, page("<nav><a>m</a></nav><article>" + "".join(f"<h{1 + (i >> b) % 3}>t{i}</h{1 + (i >> b) % 3}><p>p{b}</p>" for b in range(i % 6 + 1)) + "</article>")) for i in range(n)]
     want = [" ".join(f"t{i} p{b}" for b in range(i % 6 + 1)) for i in range(n)]
     assert texts(spark, pages) == want
+
+
+@pytest.mark.parametrize("url", ["http://mixed.example/%d", "no usable url %d"])
+def test_templates_of_one_host(spark, url):
+    """Pages of other templates are not blanked by those with an article."""
+    nav = "<nav><a href=/>home</a></nav>"
+    make = [
+        lambda i: f"{nav}<article><p>Article {i} in its own words.</p></article><p>foot</p>",
+        lambda i: f"{nav}<main><p>Main {i} in its own words.</p></main><p>foot</p>",
+        lambda i: f"{nav}<div class=content><p>Content {i} in many words of its own, far more than the others have: {'word ' * 60}{i}.</p></div><h6>foot</h6>",
+        lambda i: f"{nav}<section><p>Section {i} in its own words.</p></section><h6>foot</h6>",
+    ]
+    want = ["Article {i} in its own words.", "Main {i} in its own words.", "Content {i} in many words of its own, far more than the others have: " + "word " * 60 + "{i}.", "Section {i} in its own words."]
+    out = texts(spark, [(url % i, page(make[i % 4](i))) for i in range(24)])
+    assert out == [want[i % 4].format(i=i) for i in range(24)]
