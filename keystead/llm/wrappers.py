@@ -58,10 +58,10 @@ NOISE = set(
     " pagination pager tags toolbar copyright".split()
 )
 MAIN = {"main", "articlebody"}
+PAGE = {"html", "body", "main", "article"}  # class and id say nothing against these
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORDS = re.compile(r"[a-z]+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 SALTS = 16
@@ -81,7 +81,8 @@ def label(tag: str, attributes: str) -> str:
         elif name.lower() in ("role", "itemprop"):
             words |= {w for w in (value,) if w in MAIN or w in ("navigation", "banner", "search", "complementary", "contentinfo")}
         else:
-            words |= NOISE.intersection(WORDS.findall(value))
+            # whole names only: has-sidebar is no sidebar
+            words |= NOISE.intersection(value.split()) if tag not in PAGE else set()
     return f"{tag}.{'.'.join(sorted(words))}" if words else tag
 
 
@@ -245,37 +246,62 @@ def merge_wrappers(wrappers: list[list]) -> list:
 
 # --- the article of a wrapper ---------------------------------------------------
 
-def _noise(item: list) -> bool:
+def _noise(item: list, spared: Container[int] = ()) -> bool:
+    """Whether an element is not the article, by its tag or, unless spared, by its words."""
     tag, *words = item[0].split(".")
-    return tag in NOT_MAIN or any(w not in MAIN for w in words)
+    return tag in NOT_MAIN or any(w not in MAIN and not (w in NOISE and id(item) in spared) for w in words)
 
 
-def _variable(item: list, taken: Container[int] = (), in_link: bool = False) -> int:
+def _spared(wrapper: list) -> tuple[set[int], set[int]]:
+    """Elements that class and id say nothing against: those with most of the varying text, and these with those that hold an article or main element."""
+    sums: dict[int, int] = {}
+    holders: set[int] = set()
+
+    def walk(item: list, in_link: bool) -> tuple[int, bool]:
+        if item[0] == SLOT:
+            return (item[2][2] if item[2][1] and not in_link else 0), False
+        tag, *words = item[0].split(".")
+        if tag in NOT_MAIN or "hidden" in words:
+            return 0, False
+        below = [walk(k, in_link or tag == "a") for k in item[2]]
+        sums[id(item)] = sum(n for n, _ in below)
+        if any(x for _, x in below):
+            holders.add(id(item))
+        return sums[id(item)], any(x for _, x in below) or tag in PAGE - {"html", "body"} or not MAIN.isdisjoint(words)
+
+    whole, _ = walk(wrapper, False)
+    most = {i for i, n in sums.items() if 2 * n > whole}
+    return most, most | holders
+
+
+def _variable(item: list, spared: Container[int], taken: Container[int] = (), in_link: bool = False) -> int:
     """Characters in slots that differ from page to page, outside links, noise and what is taken."""
     if item[0] == SLOT:
         return item[2][2] if item[2][1] and not in_link else 0
-    if id(item) in taken or _noise(item):
+    if id(item) in taken or _noise(item, spared):
         return 0
-    return sum(_variable(k, taken, in_link or item[0] == "a") for k in item[2])
+    return sum(_variable(k, spared, taken, in_link or item[0] == "a") for k in item[2])
 
 
-def _find(item: list, wanted) -> list[list]:
-    if item[0] == SLOT or _noise(item):
+def _find(item: list, wanted, spared: Container[int] = ()) -> list[list]:
+    if item[0] == SLOT or _noise(item, spared):
         return []
-    return [item] if wanted(item) else [x for k in item[2] for x in _find(k, wanted)]
-
-
-def _marked(item: list) -> list[list]:
-    return _find(item, lambda k: k[0] == "article" or "articlebody" in k[0].split("."))
+    return [item] if wanted(item) else [x for k in item[2] for x in _find(k, wanted, spared)]
 
 
-def _main(item: list) -> list[list]:
-    return _find(item, lambda k: k[0].split(".")[0] == "main" or "main" in k[0].split("."))
+def _known(item: list, spared: Container[int]) -> tuple[str, list[list]]:
+    """What the article is known by, and its parts: a marked article, else a main element; in noise only if nowhere else."""
+    for inside in ((), spared):
+        if found := _find(item, lambda k: k[0].split(".")[0] == "article" or "articlebody" in k[0].split("."), inside):
+            return ("article in noise" if inside else "article"), found
+        if found := _find(item, lambda k: k[0].split(".")[0] == "main" or "main" in k[0].split("."), inside):
+            return ("main in noise" if inside else "main"), found
+    return "varying", []
 
 
 def kind(item: list) -> str:
     """What the article of a structure is known by; structures of one kind have one wrapper."""
-    return "article" if _marked(item) else "main" if _main(item) else "varying"
+    return _known(item, _spared(item)[1])[0]
 
 
 def choose(wrapper: list) -> list:
@@ -285,18 +311,20 @@ def choose(wrapper: list) -> list:
     the text that differs from page to page, then the one that holds most of the rest,
     and so on: the lowest bit of a page is its article.
     """
-    found = _marked(wrapper) or _main(wrapper)
+    most, spared = _spared(wrapper)
+    name, found = _known(wrapper, spared)
+    spared = spared if name.endswith("in noise") else most
     choices = [found] if found else []
     taken: set[int] = set()
     while not found:
-        whole, best = _variable(wrapper, taken), wrapper
+        whole, best = _variable(wrapper, spared, taken), wrapper
         while whole:
-            larger = [k for k in best[2] if k[0] != SLOT and _variable(k, taken) > 0.8 * whole]
+            larger = [k for k in best[2] if k[0] != SLOT and _variable(k, spared, taken) > 0.8 * whole]
             if not larger or larger[0][0].split(".")[0] in ("p", "span", "b", "i", "a", "li"):
                 break
             best = larger[0]
         if not whole:
-            choices.append(_find(wrapper, lambda k: k[0] == "body") or [wrapper])
+            choices.append(_find(wrapper, lambda k: k[0].split(".")[0] == "body", spared) or [wrapper])
             break
         choices.append([best])
         taken.add(id(best))
@@ -309,7 +337,7 @@ def choose(wrapper: list) -> list:
         inside |= bits.get(id(item), 0)
         if item[0] == SLOT:
             return [SLOT, item[1], item[2], inside]
-        inside = 0 if _noise(item) else inside
+        inside = 0 if _noise(item, spared) else inside
         return [item[0], item[1], [mark(k, inside) for k in item[2]], inside]
 
     return mark(wrapper, 0)

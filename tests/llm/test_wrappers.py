@@ -100,3 +100,22 @@ def test_templates_of_one_host(spark, url):
     want = ["Article {i} in its own words.", "Main {i} in its own words.", "Content {i} in many words of its own, far more than the others have: " + "word " * 60 + "{i}.", "Section {i} in its own words."]
     out = texts(spark, [(url % i, page(make[i % 4](i))) for i in range(24)])
     assert out == [want[i % 4].format(i=i) for i in range(24)]
+
+
+@pytest.mark.parametrize("open_tag, close_tag", [
+    ("<div id='content-with-sidebar'><article>", "</article></div>"), ("<article class='social-policy share'>", "</article>"), ("<div class=sidebar><article>", "</article></div>"),
+    ("<main id=comments>", "</main>"), ("<div class='popup menu'><main>", "</main></div>"), ("<div class='related-area'>", "</div>"), ("<div class=widget>", "</div>"),
+])
+def test_class_names_around_the_text(spark, open_tag, close_tag):
+    def make(i):
+        body = f"<div class=sidebar><p>side</p></div>{open_tag}<p>Text {i} in its own words.</p>{close_tag}<div class=ad>Buy</div>"
+        return page(body).replace("<html>", "<html class='no-cookie menu'>").replace("<body>", "<body class='has-sidebar search'>")
+
+    assert texts(spark, [(f"http://k.example/{i}", make(i)) for i in range(4)]) == [f"Text {i} in its own words." for i in range(4)]
+
+
+def test_articles_in_comments(spark):
+    body = "<div class=page><article><p>Text %d</p><div class='share popular'>Share</div></article><div class=comments><article><p>Reply %d, much longer than the text</p></article></div></div>"
+    assert texts(spark, [(f"http://l.example/{i}", page(body % (i, i))) for i in range(4)]) == [f"Text {i}" for i in range(4)]
+    body = "<main><p>Text %d, longer than the reply</p><div class=comments><article><p>Reply %d</p></article></div></main>"
+    assert texts(spark, [(f"http://m.example/{i}", page(body % (i, i))) for i in range(4)]) == [f"Text {i}, longer than the reply" for i in range(4)]
