@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystead.llm import bpe, decontaminate, exact_dedup, phrases, pii, reshard, simhash, toxicity, url_filter, wrappers
+from keystead.llm import bpe, codes, decontaminate, exact_dedup, licenses, phrases, pii, reshard, simhash, toxicity, url_filter, whitening, wrappers
 from keystead.llm.common import table
 from keystead.llm.sql import SQL
 
@@ -77,6 +77,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_wrappers": op2_wrappers,
@@ -88,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_licenses": op12_licenses,
+    "op13_codes": op13_codes,
 }
 
 __all__ = ["QUERIES", "SQL"]

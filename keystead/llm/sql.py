@@ -57,4 +57,37 @@ select page_id, url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S.%f') as fetched_at,
 from page left join best using (r)
 """
 
-SQL = {"op6_url_filter": OP6, "op8_decontaminate": OP8, "op10_exact_dedup": OP10}
+
+
+def _assigned(rows: str, books: str) -> str:
+    """The nearest entry of every part of `rows` in `books`, and its squared distance."""
+    return f"""
+    select r, p, v, arg_min(e, struct_pack(d := d, e := e)) as e, min(d) as d from (
+        select r, x.p, v, e, list_sum(list_transform(list_zip(v, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+        from {rows} x join {books} y on x.p = y.p)
+    group by r, p, v"""
+
+
+def _codes(rounds: int = 6) -> str:
+    steps = ""
+    for i in range(rounds):
+        steps += f"""
+a{i} as materialized ({_assigned("part", f"book{i}")}),
+m{i} as (select p, e, k, cast(floor(sum(v[k]) / count(*)) as bigint) as c from (select p, e, v, unnest(range(1, len(v) + 1)) as k from a{i}) group by p, e, k),
+book{i + 1} as materialized (
+    select b.p, b.e, coalesce(n.v, b.b) as b from book{i} b left join (select p, e, list(c order by k) as v from m{i} group by p, e) n on b.p = n.p and b.e = n.e),"""
+    return f"""
+with kept as materialized (
+    select row_number() over (order by vec_id nulls last) - 1 as r, vec_id, label, list_transform(embedding, lambda c: cast(floor(cast(c as double) * 4096) as bigint)) as x
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+part as materialized (
+    select r, p, x[p * len(x) // 8 + 1 : (p + 1) * len(x) // 8] as v from kept, unnest(range(8)) as u(p)),
+book0 as materialized (select p, r as e, v as b from part where r < 16),{steps}
+last as materialized ({_assigned("part", f"book{rounds}")}),
+coded as (select r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from last group by r),
+digest as (select sha256(string_agg(array_to_string(b, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from kept join coded using (r), digest
+"""
+
+
+SQL = {"op6_url_filter": OP6, "op8_decontaminate": OP8, "op10_exact_dedup": OP10, "op13_codes": _codes()}
