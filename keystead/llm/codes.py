@@ -5,8 +5,8 @@ Every task turns blocks of its vectors into one trie a part: the distinct parts
 lexicographic order with the number of vectors that have them.  A round walks a trie
 depth first.  A node has the distances of its prefix to the prefixes of all entries;
 its children add the square of their own dimension to them, so what parts have in
-common is added up once.  Subtrees of at most SUBTREE leaves are walked level by level
-as arrays, which bounds memory and keeps the walk fast.  A leaf takes the nearest entry
+common is added up once.  Subtrees of at most SUBTREE leaves, and small neighbours
+together, are walked level by level as arrays, which bounds memory and keeps the walk fast.  A leaf takes the nearest entry
 and adds its part, times its number of vectors, to the entry's sums.
 
 The tries are written once and read by every round; a round moves one row of sums an
@@ -60,9 +60,19 @@ def nearest(leaves: np.ndarray, book: np.ndarray, subtree: int = SUBTREE) -> tup
         if hi - lo > subtree and depth < depth_of_leaves:
             value = leaves[lo:hi, depth]
             cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), hi - lo]
-            for a, b in zip(reversed(cuts[:-1]), reversed(cuts[1:])):
-                far = int(value[a]) - book[:, depth]
-                stack.append((lo + a, lo + b, depth + 1, shared + far * far))
+            begin = cuts[0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - begin <= subtree:
+                    continue  # small children next to each other are walked together
+                if begin < a:
+                    stack.append((lo + begin, lo + a, depth, shared))
+                begin = a
+                if b - a > subtree:
+                    far = int(value[a]) - book[:, depth]
+                    stack.append((lo + a, lo + b, depth + 1, shared + far * far))
+                    begin = b
+            if begin < hi - lo:
+                stack.append((lo + begin, hi, depth, shared))
             continue
         node, sums = np.zeros(hi - lo, dtype=np.int64), shared[None, :]
         new = np.zeros(hi - lo, dtype=bool)
