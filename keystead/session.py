@@ -78,4 +78,14 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path  # for release
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `stage` returned, once whatever reads them has been written."""
+    for table in tables:
+        spark, path = table.sparkSession, table._staged
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
