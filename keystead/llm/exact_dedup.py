@@ -170,6 +170,20 @@ def repeated_fingerprints(merged: DataFrame) -> DataFrame:
     return merged.select("block").mapInArrow(read, "fp long, n long")
 
 
+def recurring_bits(blocks: DataFrame, bits: int) -> bytes:
+    """A bitmap of the leading bits of fingerprints that the filters of all tasks count more than once."""
+    slots = prefix_bitmap(repeated_fingerprints(merge_filters(blocks)), "fp", bits).toArrow()  # 2 ** (bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[slots.column("slot").to_numpy()] = slots.column("word").to_numpy()
+    return out.tobytes()
+
+
+def in_bits(bitmap: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
+    """Which uint64 fingerprints a bitmap (as uint64 words) has."""
+    at = fingerprints >> np.uint64(64 - (6 + len(bitmap).bit_length() - 1))
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def normalised(column: str = "text") -> Column:
     """The text without white space; null counts as empty."""
     return F.translate(text_or_empty(column), WHITE_SPACE, "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystead.session import stage
+from keystead.session import release, stage
 
 MAX_ROUNDS = 100
 
@@ -28,7 +28,9 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         if (now["n"], now["x"]) == seen or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = (now["n"], now["x"])
-        edges = stage(_small_star(_large_star(edges)), "links")
+        folded = stage(_small_star(_large_star(edges)), "links")
+        release(edges)
+        edges = folded
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from keystead.llm import near, simhash
 
@@ -67,3 +69,41 @@ def test_documents_against_brute_force(documents, texts):
 def test_shingles_of_pieces():
     text = " ".join(f"w{i % 70_001}" for i in range(900_000))
     assert len(text) > 1 << 22 and len(near.shingles(text)) == 70_001
+
+
+def test_many_texts_that_share_their_first_words(docs_of):
+    """No two are similar, though all lead with the same words; 40 more are copies with an edit."""
+    rng = random.Random(12)
+    opening = " ".join(f"o{i}" for i in range(30))
+    rows = [(i, f"{opening} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))) for i in range(5000)]
+    rows += [(5000 + i, f"{rows[i][1]} end{i}") for i in range(40)]
+    assert kept(near.representatives(docs_of(rows, extra=False))) == list(range(5000))
+
+
+def test_filters_lose_no_pair():
+    """The signature and the places never rule out what is similar."""
+    rng = random.Random(13)
+    for _ in range(300):
+        size = rng.randint(1, 400)
+        a = np.unique(np.array([rng.getrandbits(63) for _ in range(size)]))
+        b = a.copy()
+        for k in range(rng.randint(0, size // 6)):
+            b[rng.randrange(len(b))] = rng.getrandbits(63)
+        b = np.unique(b)
+        if not near.similar(a, b):
+            continue
+        flips = int(np.bitwise_count((near.signature(a) ^ near.signature(b)).view(np.uint64)).sum())
+        assert 9 * flips <= len(a) + len(b)
+        none = np.zeros(0, dtype=np.int64)
+        x, y = near.leading(a, none, none).tolist(), near.leading(b, none, none).tolist()
+        h = min(set(x) & set(y))
+        assert 9 * min(len(a) - x.index(h), len(b) - y.index(h)) >= 4 * (len(a) + len(b))
+
+
+def test_staged_tables_are_removed(spark, docs_of, tmp_path):
+    import os
+    from keystead.session import scratch_root
+    before = set(os.listdir(scratch_root(spark).removeprefix("file:")))
+    near.representatives(docs_of(edited(30, 5))).count()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(scratch_root(spark).removeprefix("file:"))) - before}
+    assert left <= {"links", "stars", "rows", "representatives", "repeated"}
