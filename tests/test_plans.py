@@ -66,14 +66,53 @@ def test_latest_row_combines_before_the_shuffle(spark):
     assert "partial_max_by" in plan(upsert.latest_per_key(df, ["k"], ["id"]))
 
 
-def test_duplicate_join_is_keyed_by_block(spark):
-    df = spark.range(10).select(
-        F.col("id").alias("eval_id"), F.lit("u").alias("url"), F.lit("mansion").alias("property_type"), F.lit("a").alias("address"),
-        F.lit(50.0).alias("senyu_menseki"), F.lit(None).cast("double").alias("tatemono_menseki"), F.lit(1).cast("bigint").alias("price_yen"),
-        F.lit(None).cast("date").alias("built"), F.lit("").alias("built_text"),
+def folded_signatures(spark, towns, copies=1):
+    """Signatures of listings in so many towns, no two towns with a sign in common."""
+    town = F.concat(*[F.expr(f"decode(unhex(hex(19968 + (id % {towns}) * 4 + {k})), 'UTF-16BE')") for k in range(4)])
+    return spark.range(towns * 20 * copies).select(
+        F.col("id").alias("num"), F.col("id").cast("string").alias("sid"), F.lit("house").alias("grp"),
+        F.concat(F.lit("東京都"), town, F.lit("町"), (F.col("id") % 9).cast("string")).alias("addr"),
+        F.lit(50.0).alias("area"), F.lit(1e7).alias("price"), F.lit(None).cast("date").alias("built"), F.lit("").alias("built_text"),
+        F.col("id").alias("first"), F.col("id").alias("last"),
     )
-    text = plan(dedup.duplicate_links(df))
-    assert re.search(r"Join \[block#\d+L, grp#\d+, bucket#\d+L\]", text)
+
+
+@pytest.mark.parametrize("method", ["sequence", "levenshtein"])
+def test_similar_addresses_join_on_a_sign(spark, method):
+    """Every join of the candidates has an address key, equal addresses the address itself."""
+    rows = folded_signatures(spark, 5)
+    joins = re.findall(r"Join \[([^\]]*)\]", plan(dedup._similar_pairs(rows, method)))
+    assert joins and all("sign#" in keys and "a_bucket#" in keys and "p_bucket#" in keys for keys in joins)
+    same = re.findall(r"Join \[([^\]]*)\]", plan(dedup._pairs(rows.withColumn("bucket", F.lit(1)), ["grp", "addr", "bucket"], ["bucket"], lambda n, c: F.lit(True))))
+    assert same and all("addr#" in keys for keys in same)
+
+
+def test_similar_pairs_grow_with_the_table(spark):
+    """Ten times the towns: ten times what meets, not a hundred times."""
+    def met(towns):
+        signed = dedup.with_signs(folded_signatures(spark, towns), "sequence", 0.85).withColumn("sign", F.explode("lead"))
+        sizes = signed.groupBy("grp", "sign").count()
+        return sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+
+    assert met(100) <= 11 * met(10)
+
+
+def test_signs_lose_no_similar_address(spark):
+    import random
+    from difflib import SequenceMatcher
+    rng = random.Random(5)
+    base = ["東京都港区赤坂一丁目2-3-4", "神奈川県横浜市西区みなとみらい2-2-1", "京都府京都市中京区河原町9"]
+    texts = []
+    for k in range(120):
+        t = list(base[k % 3])
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice("東西南北123赤町-")
+        texts.append("".join(t))
+    rows = [(i, str(i), "house", t, 50.0, 1e7, None, "", i, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "num long, sid string, grp string, addr string, area double, price double, built date, built_text string, first long, last long")
+    got = {(r["a"], r["b"]) for r in dedup._similar_pairs(df, "sequence").collect()}
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if a != b and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert want and want <= got
 
 
 def test_large_dimension_is_not_broadcast(spark, sf_dir):

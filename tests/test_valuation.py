@@ -1,3 +1,4 @@
+import math
 from datetime import date
 
 import pytest
@@ -208,7 +209,10 @@ def test_score_statistics_defaults(spark):
     df = spark.createDataFrame([(float(i), None) for i in range(9)], "investment_score double, total_investment_score double").select(
         "*", F.lit("completed").alias("analysis_status"), F.lit(None).cast("bigint").alias("duplicate_of")
     )
-    assert [tuple(r) for r in aggregates.score_statistics(df).collect()] == [(False, 55.0, 12.0, 9)]
+    assert [tuple(r) for r in aggregates.score_statistics(df, min_rows=10).collect()] == [(False, 55.0, 12.0, 9)]
+    # without a limit small groups have their own figures; without spread the default
+    assert [tuple(r) for r in aggregates.score_statistics(df).collect()] == [(False, 4.0, pytest.approx(math.sqrt(60 / 9)), 9)]
+    assert [tuple(r) for r in aggregates.score_statistics(df.limit(1)).collect()] == [(False, 0.0, 12.0, 1)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
