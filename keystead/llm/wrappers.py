@@ -27,6 +27,7 @@ import json
 import re
 from collections.abc import Container, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -57,14 +58,23 @@ NOISE = set(
     " share sharing social related recommended popular trending comment comments disqus respond reply replies widget popup modal search"
     " pagination pager tags toolbar copyright".split()
 )
+NOISE_PARTS = set(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo breadcrumb breadcrumbs sidebar cookie cookies newsletter share sharing"
+    " social related recommended comment comments disqus pagination".split()
+)
+SAYS_WITH = {"has", "is", "no", "not", "with", "without"}
+PART = re.compile(r"[^a-z0-9]+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 MAIN = {"main", "articlebody"}
 PAGE = {"html", "body", "main", "article"}  # class and id say nothing against these
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 SALTS = 16
+TABLE = 1 << 14  # cells up to which an alignment is worked out in a table
 DEPTH = 200  # elements nested deeper lie side by side in the last of these
 SLOT = "#"
 
@@ -76,13 +86,20 @@ def label(tag: str, attributes: str) -> str:
     words: set[str] = set()
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
-        if name.lower() == "hidden":
+        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true" or name.lower() == "style" and UNSEEN.search(value):
             words.add("hidden")
+        elif name.lower() in ("aria-hidden", "style"):
+            continue
         elif name.lower() in ("role", "itemprop"):
             words |= {w for w in (value,) if w in MAIN or w in ("navigation", "banner", "search", "complementary", "contentinfo")}
         else:
-            # whole names only: has-sidebar is no sidebar
-            words |= NOISE.intersection(value.split()) if tag not in PAGE else set()
+            if tag in PAGE:
+                continue
+            # has-sidebar is no sidebar, and section-header may be a heading: only some words count as part of a name
+            words |= NOISE.intersection(value.split())
+            if tag not in HEADINGS:
+                parts = (set(PART.split(n)) for n in value.split())
+                words |= {w for p in parts if SAYS_WITH.isdisjoint(p) for w in p & NOISE_PARTS}
     return f"{tag}.{'.'.join(sorted(words))}" if words else tag
 
 
@@ -195,8 +212,46 @@ def merge_items(a: list, b: list) -> list:
     return [a[0], _occurrence(a[1], b[1]), repeated(align(a[2], b[2]))]
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of a with every beginning of b, in bits of one number."""
+    places: dict[str, np.ndarray] = {}
+    for name in set(a).intersection(b):
+        hit = np.fromiter((x == name for x in b), dtype=np.uint8, count=len(b))
+        places[name] = int.from_bytes(np.packbits(hit, bitorder="little").tobytes(), "little")
+    whole = (1 << len(b)) - 1
+    row = whole
+    for name in a:
+        if met := row & places.get(name, 0):
+            row = (row + met | row - met) & whole
+    zeros = 1 - np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(zeros, dtype=np.int64)))
+
+
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
+    """Places of a longest common subsequence, in space that grows with a and b only."""
+    out: list[tuple[int, int]] = []
+    waiting = [(0, len(a), 0, len(b))]
+    while waiting:
+        i, m, j, n = waiting.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= TABLE or m - i == 1:
+            out += [(i + x, j + y) for x, y in _by_table(a[i:m], b[j:n])]
+            continue
+        # the middle of a meets b where both halves have most in common
+        half = (i + m) // 2
+        split = j + int(np.argmax(_lengths(a[i:half], b[j:n]) + _lengths(a[half:m][::-1], b[j:n][::-1])[::-1]))
+        waiting += [(i, half, j, split), (half, m, split, n)]
+    return sorted(out)
+
+
+def _by_table(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, below = best[i], best[i + 1]
@@ -353,12 +408,12 @@ def plan(node: Node, wrapper: list | None) -> list:
     names = [SLOT if not sig else child.label for sig, child in node.folded]
     # a repeated item takes all neighbours of its label
     runs = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
-    place = dict(common([names[i] for i in runs], [k[0] for k in items]))
+    place = {runs[x]: y for x, y in common([names[i] for i in runs], [k[0] for k in items])}
+    starts = set(runs)
     out, item = [], None
     for i, (sig, child) in enumerate(node.folded):
-        if i in set(runs):
-            at = place.get(runs.index(i))
-            item = items[at] if at is not None else None
+        if i in starts:
+            item = items[place[i]] if i in place else None
         if not sig:
             out.append(item[3] if item else wrapper[3])
         else:
