@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystead.llm.common import text_or_empty
+from keystead.llm.common import slices, text_or_empty
 from keystead.llm.tagger import Tagger, codes
 
 # The kinds in order, and their patterns.
@@ -40,6 +40,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SIGNAL = re.compile(r"[0-9@]")
 PAD = 32  # signs around a signal that belong to its stretch
 WIDTH, STRIDE = 96, 48  # of windows
+LONG, MARGIN = 2048, 128  # signs of a piece that is decoded, and of its ends that only lend context
+CELLS = 1 << 16  # signs that are decoded at a time
 WINDOWS = 3_000  # training windows
 EPOCHS = 4
 SURE = 0.97  # least mean marginal of an added span
@@ -195,33 +197,69 @@ def blended(tagger: Tagger, parts: list[str]) -> list[np.ndarray]:
     return [s / w for s, w in zip(sums, weights)]
 
 
+def _cut(parts: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """(part, start, stop, lo, hi): pieces of LONG signs at most that overlap; spans that begin from lo to hi are a piece's own."""
+    out = []
+    for n, part in enumerate(parts):
+        step = LONG - 2 * MARGIN
+        for at in range(0, max(1, len(part) - 2 * MARGIN), step) if len(part) > LONG else (0,):
+            last = at + LONG >= len(part)
+            stop = min(at + LONG, len(part))
+            out.append((n, at, stop, at + MARGIN if at else 0, len(part) if last else stop - MARGIN))
+            if last:
+                break
+    return out
+
+
 def found_spans(tagger: Tagger, parts: list[str]) -> list[list[Span]]:
-    """Spans of each stretch of which the model is sure, from one path over the stretch."""
+    """Spans of each stretch of which the model is sure, from one path over the stretch.
+
+    A stretch of more than LONG signs is decoded in pieces that overlap: a span belongs
+    to the piece in whose middle it begins, and of spans that overlap the first stays.
+    """
+    out: list[list[Span]] = [[] for _ in parts]
+    pieces = sorted(_cut(parts), key=lambda p: p[2] - p[1])
+    begin = 0
+    while begin < len(pieces):  # as many of about one length as CELLS allow
+        end = begin + 1
+        while end < len(pieces) and end - begin < 128 and (pieces[end][2] - pieces[end][1]) * (end - begin + 1) <= CELLS:
+            end += 1
+        own = pieces[begin:end]
+        for (n, start, _, lo, hi), spans in zip(own, _decoded(tagger, [parts[p[0]][p[1] : p[2]] for p in own])):
+            out[n] += [(k, a + start, b + start) for k, a, b in spans if lo <= a + start < hi]
+        begin = end
+    for n, spans in enumerate(out):
+        kept: list[Span] = []
+        for span in sorted(spans, key=lambda s: s[1:]):
+            if not kept or span[1] >= kept[-1][2]:
+                kept.append(span)
+        out[n] = kept
+    return out
+
+
+def _decoded(tagger: Tagger, parts: list[str]) -> list[list[Span]]:
     emissions = blended(tagger, parts)
     out: list[list[Span]] = [[] for _ in parts]
-    order = sorted(range(len(parts)), key=lambda n: len(parts[n]))
-    for begin in range(0, len(order), 128):
-        rows = order[begin : begin + 128]
-        steps = max(len(parts[n]) for n in rows)
-        e = np.zeros((steps, len(rows), tagger.tags))
-        e[:, :, 1:] = -50.0  # beyond a stretch there is nothing
-        for c, n in enumerate(rows):
-            e[: len(parts[n]), c] = emissions[n]
-        path, (_, marginal, _) = tagger.decode(e), tagger.marginals(e)
-        for c, n in enumerate(rows):
-            tags = path[:, c].tolist()
-            at = 0
-            while at < len(parts[n]):
-                if tags[at] == 0:
-                    at += 1
-                    continue
-                kind, end = (tags[at] - 1) // 2, at + 1
-                while end < len(parts[n]) and tags[end] == 2 * kind + 2:
-                    end += 1
-                sure = float(np.mean(marginal[np.arange(at, end), c, path[at:end, c]]))
-                if sure >= SURE and end - at >= LEAST[KINDS[kind]] and tags[at] == 2 * kind + 1:
-                    out[n].append((kind, at, end))
-                at = end
+    steps = max(map(len, parts))
+    e = np.zeros((steps, len(parts), tagger.tags))
+    e[:, :, 1:] = -50.0  # beyond a stretch there is nothing
+    for c, own in enumerate(emissions):
+        e[: len(own), c] = own
+    path, (_, marginal, _) = tagger.decode(e), tagger.marginals(e)
+    for c, part in enumerate(parts):
+        tags = path[:, c].tolist()
+        at = 0
+        while at < len(part):
+            if tags[at] == 0:
+                at += 1
+                continue
+            kind, end = (tags[at] - 1) // 2, at + 1
+            while end < len(part) and tags[end] == 2 * kind + 2:
+                end += 1
+            sure = float(np.mean(marginal[np.arange(at, end), c, path[at:end, c]]))
+            if sure >= SURE and end - at >= LEAST[KINDS[kind]] and tags[at] == 2 * kind + 1:
+                out[c].append((kind, at, end))
+            at = end
     return out
 
 
@@ -240,7 +278,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None, trained: bool = True) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             bases, spans, parts, owners = [], [], [], []
             for n, text in enumerate(batch.column(1).to_pylist()):
                 own = stretches(text)
