@@ -5,8 +5,9 @@
 1.  Every window of 50 words has an anchor: the smallest hash of the word groups of
     half its length in it.  Equal windows have equal anchors.  Counting filters find
     the anchors that occur more than once; a bitmap of fixed size tells them.
-2.  Windows with such an anchor leave the document as hashes.  A window whose hash is
-    in two documents recurs; the smallest doc_id owns it.  Stretches of owned windows
+2.  Windows with such an anchor leave the document as hashes; counting filters drop
+    those whose own hash occurs once.  A window whose hash is in two documents recurs;
+    the smallest doc_id owns it.  Stretches of owned windows
     are the passages.
 3.  The words of the passages are confirmed by text: they are sent to the documents
     that need them, and the documents of a shard are streamed through the Aho-Corasick
@@ -36,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystead.llm.common import pieces, prefix_bitmap, routed, shuffle_shards, slices, text_or_empty
-from keystead.llm.exact_dedup import BLOCKS, filter_blocks, merge_filters, repeated_fingerprints
-from keystead.session import stage
+from keystead.llm.exact_dedup import BLOCKS, filter_blocks, in_bits, partition_filters, recurring_bits
+from keystead.session import release, stage
 
 WINDOW = 50
 ROUTE_BITS = 26  # the bitmap of recurring anchors: 8 MB whatever the input
@@ -151,11 +152,7 @@ def recurring_anchors(rows: DataFrame, window: int = WINDOW) -> bytes:
         yield from filter_blocks(anchors_of(batches), shards)
         _hashes.clear()
 
-    merged = merge_filters(_known(rows).select("text").mapInArrow(work, BLOCKS))
-    slots = prefix_bitmap(repeated_fingerprints(merged), "fp", ROUTE_BITS).toArrow()  # 2 ** (ROUTE_BITS - 6) rows at most
-    bits = np.zeros(1 << (ROUTE_BITS - 6), dtype=np.int64)
-    bits[slots.column("slot").to_numpy()] = slots.column("word").to_numpy()
-    return bits.tobytes()
+    return recurring_bits(_known(rows).select("text").mapInArrow(work, BLOCKS), ROUTE_BITS)
 
 
 def window_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -168,8 +165,7 @@ def window_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             hs, ds, ps = [], [], []
             for doc, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 h, anchor = windows(text, window)
-                at = anchor >> np.uint64(64 - ROUTE_BITS)
-                hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(in_bits(bits, anchor))
                 if len(hit):
                     hs.append(h[hit])
                     ds.append(np.full(len(hit), doc, dtype=np.int64))
@@ -188,8 +184,23 @@ def _places(hs: list, ds: list, ps: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps))], names=["h", "doc", "place"])
 
 
+def recurring_places(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(h, doc, place) of the windows whose own hash occurs more than once, written."""
+    found = stage(window_places(rows, window), "windows")
+    shared = rows.sparkSession.sparkContext.broadcast(recurring_bits(partition_filters(found, "h"), ROUTE_BITS))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, dtype=np.uint64)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(bits, batch.column(0).to_numpy().view(np.uint64))))
+
+    places = stage(found.mapInArrow(work, "h long, doc long, place long"), "places")
+    release(found)
+    return places
+
+
 def passages(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(h, owner, first): windows in several documents and the passage they belong to; and (owner, first, last) of the passages."""
+    """(h, owner, first, place): windows in several documents and the passage they belong to; and (owner, first, last) of the passages."""
     from pyspark.sql import Window
 
     owned = (
@@ -202,7 +213,7 @@ def passages(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min("place").over(Window.partitionBy("owner", "island"))
     rows = stage(islands.select("h", "owner", first.alias("first"), "place"), "owned")
     ends = rows.groupBy("owner", "first").agg(F.max("place").alias("last"))
-    return rows.select("h", "owner", "first"), stage(ends, "passages")
+    return rows, stage(ends, "passages")
 
 
 def passage_texts(sources: DataFrame, ends: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -228,16 +239,24 @@ def passage_texts(sources: DataFrame, ends: DataFrame, window: int = WINDOW) ->
 
 
 class Automaton:
-    """Finds the passages of a shard in texts, by tiles of half a window."""
+    """Finds the passages of a shard in texts, by tiles of half a window.
+
+    A window holds one of the tiles whole, and what is left of it lies beside the tile.
+    A tile's places in a passage are told apart by the words beside them only, so the
+    many places of a tile in a passage that repeats itself are looked at once.
+    """
 
     def __init__(self, texts: dict[tuple[int, int], bytes], window: int = WINDOW):
         self.window, self.tile = window, window // 2
-        self.words = {k: t.split(b" ") for k, t in texts.items()}
-        where: dict[str, dict[tuple[int, int], list[int]]] = {}
-        for key, words in self.words.items():
+        side = window - self.tile
+        where: dict[str, dict[tuple[int, int], dict[tuple, None]]] = {}
+        for key, text in texts.items():
+            words = text.split(b" ")
             for at in range(0, len(words) - self.tile + 1, self.tile):
-                tile = " " + b" ".join(words[at : at + self.tile]).decode("latin-1") + " "
-                where.setdefault(tile, {}).setdefault(key, []).append(at)
+                end = at + self.tile
+                tile = " " + b" ".join(words[at:end]).decode("latin-1") + " "
+                beside = (tuple(reversed(words[max(0, at - side) : at])), tuple(words[end : end + side]))
+                where.setdefault(tile, {}).setdefault(key, {})[beside] = None
         self.found = ahocorasick.Automaton()
         for tile, keys in where.items():
             self.found.add_word(tile, (len(tile), keys))
@@ -248,23 +267,22 @@ class Automaton:
         out = np.zeros(len(words), dtype=bool)
         line = " " + b" ".join(words).decode("latin-1") + " "
         starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        done: dict[tuple[tuple[int, int], int], int] = {}  # by passage and shift: the end of what has been looked at
         for end, (size, keys) in self.found.iter(line):
             at = int(np.searchsorted(starts, end - size + 1))
+            behind = at + self.tile
             for key in (needed if len(needed) < len(keys) else keys):
                 if key not in needed or key not in keys:
                     continue
-                own = self.words[key]
-                for place in keys[key]:
-                    if done.get((key, at - place), -1) >= at:
-                        continue
-                    a, b = at, at + self.tile
-                    shift = place - at
-                    while a > 0 and a + shift > 0 and words[a - 1] == own[a - 1 + shift]:
+                for before, after in keys[key]:
+                    a, b = at, behind
+                    for w in before:
+                        if a == 0 or words[a - 1] != w:
+                            break
                         a -= 1
-                    while b < len(words) and b + shift < len(own) and words[b] == own[b + shift]:
+                    for w in after:
+                        if b == len(words) or words[b] != w:
+                            break
                         b += 1
-                    done[key, at - place] = b
                     if b - a >= self.window:
                         out[a:b] = True
         return out
@@ -289,11 +307,12 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, shards: int | None =
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, one blank between) of every row."""
     shards = shards or 4 * shuffle_shards(docs.sparkSession)
     sources, copies = split_copies(docs)
-    places = stage(window_places(sources, window), "places")
+    places = recurring_places(sources, window)
     owned, ends = passages(places)
     mine = owned.select(F.col("h").alias("oh"), "owner", "first")
     needs = stage(
         places.join(mine, (F.col("h") == F.col("oh")) & (F.col("doc") > F.col("owner"))).select("doc", "owner", "first").distinct(), "needs")
+    release(places, owned)
     bodies = passage_texts(sources, ends, window).select(F.col("owner").alias("o"), F.col("first").alias("f"), "passage")
     sent = needs.join(bodies, (F.col("owner") == F.col("o")) & (F.col("first") == F.col("f"))).select("doc", "owner", "first", "passage")
 

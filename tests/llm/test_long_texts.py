@@ -1,0 +1,132 @@
+"""Ordinary long texts: lines, one word over and over, tables of numbers. Time and memory stay small."""
+
+import random
+import resource
+import time
+
+import numpy as np
+import pytest
+
+from keystead.llm import phrases, pii, wrappers
+from keystead.llm.tagger import Tagger
+
+
+@pytest.fixture(autouse=True)
+def bounded():
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    yield
+    assert time.time() - start < 30  # a slow machine; some seconds otherwise
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+
+
+def page(lines, name="x"):
+    return f"<html><body><nav>menu</nav><article><h1>{name}</h1>" + "".join(f"line {name} {i}<br>" for i in range(lines)) + "</article></body></html>"
+
+
+def test_page_of_many_lines():
+    trees = [wrappers.parse(page(n, f"p{n}")) for n in (50_000, 49_000, 3)]
+    for t in trees:
+        wrappers.fold(t)
+    whole = wrappers.choose(wrappers.merge_wrappers([wrappers.skeleton(t) for t in trees]))
+    how = wrappers.settled(wrappers.plan(trees[0], whole))
+    text = wrappers.main_text(trees[0], how)
+    assert text.startswith("p50000 line p50000 0") and text.endswith("line p50000 49999") and "menu" not in text
+
+
+def brute_lcs(a, b):
+    best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+    return best[-1, -1]
+
+
+def test_common_is_longest(monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(wrappers, "TABLE", 8)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        found = wrappers.common(a, b)
+        assert all(a[i] == b[j] for i, j in found) and len(found) == brute_lcs(a, b)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+def test_common_of_long_random_lists():
+    rng = random.Random(22)
+    a, b = ([rng.choice("abcdefgh") for _ in range(20_000)] for _ in range(2))
+    assert len(wrappers.common(a, b)) > 10_000
+
+
+def test_one_word_over_and_over():
+    words = [b"buy"] * 200_000
+    automaton = phrases.Automaton({(1, 0): b" ".join([b"buy"] * 100_000), (1, 7): b" ".join(f"w{i}".encode() for i in range(80))})
+    assert automaton.removed(words, {(1, 0), (1, 7)}).all()
+    assert not automaton.removed(words[:49], {(1, 0)}).any()
+    mixed = [b"x"] * 30 + [b"buy"] * 50 + [b"y"] + [b"buy"] * 49
+    assert automaton.removed(mixed, {(1, 0)}).tolist() == [False] * 30 + [True] * 50 + [False] * 50
+
+
+def test_automaton_against_brute_force():
+    rng = random.Random(23)
+    for _ in range(300):
+        passage = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(6, 40))]
+        text = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 30))]
+        cut = rng.randrange(len(passage))
+        text = text + passage[cut : cut + rng.randint(0, 30)] + text[:5]
+        want = np.zeros(len(text), dtype=bool)
+        known = {tuple(passage[i : i + 6]) for i in range(len(passage) - 5)}
+        for i in range(len(text) - 5):
+            if tuple(text[i : i + 6]) in known:
+                want[i : i + 6] = True
+        assert (phrases.Automaton({(1, 0): b" ".join(passage)}, 6).removed(text, {(1, 0)}) == want).all()
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    return Tagger(2 * len(pii.KINDS) + 1)
+
+
+def test_many_digits(tagger):
+    rng = random.Random(24)
+    text = "".join(rng.choice("0123456789") for _ in range(300_000))
+    (own,) = pii.stretches(text)
+    assert own == (0, len(text))
+    assert len(pii.found_spans(tagger, [text])) == 1
+
+
+def test_pieces_of_a_long_stretch_agree_with_the_whole(spark, monkeypatch):
+    """Numbers in a long table are found where the whole stretch has them."""
+    rng = random.Random(25)
+    def numbers():
+        return " ".join(rng.choice(["+1 (377) 555-0123", "10.0.0.7", "12 34", "99.5", "a@b.example.com"]) for _ in range(150))
+    docs = spark.createDataFrame([(i, numbers()) for i in range(60)], "doc_id long, text string")
+    trained = pii.train(docs, 200, 2)
+    parts = [numbers() for _ in range(3)]
+    whole = pii.found_spans(trained, parts)
+    assert max(map(len, parts)) < pii.LONG * 2
+    monkeypatch.setattr(pii, "LONG", 600)
+    monkeypatch.setattr(pii, "MARGIN", 150)
+    cut = pii.found_spans(trained, parts)
+    same = sum(len(set(a) & set(b)) for a, b in zip(whole, cut))
+    assert same >= 0.97 * sum(map(len, whole)) and sum(map(len, cut)) <= 1.03 * sum(map(len, whole))
+
+
+@pytest.mark.parametrize("mark", [
+    'class="comment-list"', 'id="user-comments"', 'class="related-posts"', 'class="ad-slot"', 'class="social-share"', 'class="cookie-banner"',
+    'style="display: none"', 'class="comments"', 'aria-hidden="true"', "hidden",
+])
+def test_noise_inside_the_article_goes(mark):
+    trees = [wrappers.parse(f"<body><article><h2 class='section-header'>Head {k}</h2><p class='has-sidebar'>own text of page {k} and more of it</p><div {mark}><p>noise {k}</p></div></article></body>") for k in range(3)]
+    for t in trees:
+        wrappers.fold(t)
+    whole = wrappers.choose(wrappers.merge_wrappers([wrappers.skeleton(t) for t in trees]))
+    assert wrappers.main_text(trees[1], wrappers.settled(wrappers.plan(trees[1], whole))) == "Head 1 own text of page 1 and more of it"
+
+
+@pytest.mark.parametrize("mark", ['class="content-with-sidebar"', 'id="ad-free-content"', 'aria-hidden="false"', 'class="no-comment"'])
+def test_what_holds_the_text_stays(mark):
+    trees = [wrappers.parse(f"<body><div {mark}><p>own text of page {k} and more of it</p></div><nav>menu</nav></body>") for k in range(3)]
+    for t in trees:
+        wrappers.fold(t)
+    whole = wrappers.choose(wrappers.merge_wrappers([wrappers.skeleton(t) for t in trees]))
+    assert wrappers.main_text(trees[1], wrappers.settled(wrappers.plan(trees[1], whole))) == "own text of page 1 and more of it"
