@@ -110,7 +110,7 @@ SPECS = [
     ("price_text", _value("price_text")), ("address", _value("address")),
     ("traffic", _value("coalesce(traffic, '')")), ("built_text", _value("built_text")), ("biko", _value("coalesce(biko, '')")),
 ]
-_FIELDS = ", ".join(f"{v} as {c}" for c, v in SPECS)
+FIELDS = ", ".join(f"{v} as {c}" for c, v in SPECS)
 _PAGE_JOIN = "page p join listing l on p.page_id = l.listing_id"
 
 
@@ -140,7 +140,7 @@ def property_names(spark, sf):
 
 
 @query("extract_listings", f"""{PAGE}, live as (select * from page where {STATUS_SQL} = 'active')
-select page_id, p.site, p.property_type, {NAME_SQL} as property_name, {_FIELDS},
+select page_id, p.site, p.property_type, {NAME_SQL} as property_name, {FIELDS},
   case page_id % 4 when 0 then 'apartment' when 1 then 'kodate' when 2 then 'apartment' end as invest_kind from live p join listing l on p.page_id = l.listing_id""")
 def extract_listings(spark, sf):
     out = extract.extract_listings(load(spark, sf, "page"))

@@ -27,6 +27,8 @@ CLUSTER_CONF = {
     # the JVM does not compile methods beyond 8000 bytes of bytecode; wide projections
     # run faster split up than as one interpreted method
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # the state of a standing job lies on disk, not in the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # sessions of a hot key are merged in each task before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
