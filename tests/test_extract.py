@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,15 @@ def test_long_pages_do_not_end_the_jvm(one):
     assert [tuple(p) for p in one(html.label_pairs, f"<dl><dt>a</dt>{gap}<dt>b：</dt> <dd>c</dd><dd>d</dd></dl>")] == [("list", "a", "c"), ("list", "b", "c")]
     rows = "<dt>k</dt><dd>v</dd>" * 30_000
     assert len(one(html.label_pairs, f"<dl>{rows}</dl>")) == 30_000
+
+
+def test_unclosed_anchors(spark):
+    """Each one is found; a page of 100,000 takes no time that grows with their square."""
+    text = '<p><a href="/1">one<a href="/2">two</a> no <A HREF=/3 >three</A ><abbr>x</abbr><a name="n">n</a><a href="/4"'
+    page = spark.createDataFrame([(text,), ("",), (None,)], "markup string").select(html.links("markup").alias("l")).collect()
+    assert [tuple(x) for x in page[0]["l"]] == [("/1", "one"), ("/2", "two"), ("/3", "three")]
+    assert page[1]["l"] == [] and page[2]["l"] is None
+    start = time.time()
+    many = spark.range(1).select(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(100000)), lambda i: F.concat(F.lit('<a href="/'), i, F.lit('">x')))).alias("markup"))
+    assert many.select(F.size(html.links("markup"))).first()[0] == 100000
+    assert time.time() - start < 20

@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from tests.compare import difference, duck, duck_rows, spark_rows
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"nightly", "ensemble_prices", "model_metrics", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_same_rows(spark, sf_dir, con, name):
     assert difference(spark_rows(QUERIES[name](spark, sf_dir)), want) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only(spark, sf_dir, name):
     assert not QUERIES[name](spark, sf_dir).isEmpty()
 
