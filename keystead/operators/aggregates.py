@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keystead import vocab
 from keystead.functions.measure import number_or
 from keystead.functions.text import contains_any, strip
+from keystead.session import stage
 
 
 def unit_area() -> Column:
@@ -209,6 +210,9 @@ def errors_by_period(predictions: DataFrame, ts: str, period: str = "month", by:
     )
 
 
+RANGES = 256  # of the lines around a rank
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, columns q0, q1, ...
 
@@ -216,8 +220,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     rank error is bounded, as a bracket around each wanted rank.  Pass two
     collapses the rows below and above each bracket to one line each (their count
     and the value next to the bracket) and the rows inside to one line per value:
-    about 4 rows in ``accuracy`` per quantile.  ``by`` must be a short key such as
-    the listing type: the bracket table is broadcast.
+    about 4 rows in ``accuracy`` per quantile.  Pass three sums these lines by ranges
+    of values and orders only the ranges that hold the rank.  ``by`` must be a short
+    key such as the listing type: the bracket table is broadcast.
     """
     if not by:
         one = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy)
@@ -236,16 +241,31 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         (F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_q") + 1) * (F.col("_n") - 1)).alias("_rank"),
     )
     side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    group = [*by, "_q"]
     lines = (
         data.join(F.broadcast(asked), by)
         .withColumn("_side", side)
-        .groupBy(*by, "_q", "_rank", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_inside"))
+        .groupBy(*group, "_rank", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_inside"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         .withColumn("_v", F.when(F.col("_side") == 1, F.col("_min")).otherwise(F.col("_max")))
     )
-    upto = lines.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_q").orderBy("_v")))
+    lines = stage(lines.select(*group, "_rank", "_v", "_c"), "lines")  # read three times below
+    # the lines of a group in ranges: only sums of ranges, and the ranges that hold the rank, meet in a task
+    ends = lines.groupBy(*group).agg(
+        F.percentile_approx("_v", [(i + 1) / RANGES for i in range(RANGES)], F.lit(accuracy)).alias("_ends")
+    )
+    ranged = lines.join(F.broadcast(ends), group).withColumn("_range", F.size(F.filter("_ends", lambda e: e < F.col("_v")))).drop("_ends")
+    sums = ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_all"))
+    before = Window.partitionBy(*group).orderBy("_range")
+    starts = sums.select(*group, "_range", "_all", (F.sum("_all").over(before) - F.col("_all")).alias("_start"))
+    held = (
+        ranged.join(F.broadcast(starts), [*group, "_range"])  # RANGES + 1 rows per group and quantile
+        .filter((F.col("_start") <= F.ceil("_rank")) & (F.floor("_rank") < F.col("_start") + F.col("_all")))
+    )
+    inside = Window.partitionBy(*group, "_range").orderBy("_v")
+    upto = held.withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
     at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    picked = upto.groupBy(*by, "_q", "_rank").agg(
+    picked = upto.groupBy(*group, "_rank").agg(
         at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b")
     )
     value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from keystead import vocab
 from keystead.functions import html, urls
 from keystead.functions.text import blank_to_null, contains_any, explode_kept, let
+from keystead.session import stage
 
-# Label aliases: field -> labels, best first. A site may put labels of its own
-# before these; see ``field_values``.
+# Labels: field -> labels, best first. A site may put labels of its own before these;
+# see ``site_values``.
 DEFAULT_ALIASES = {
     # --- fixed values: page labels per field, best first ---
     "property_name": vocab.NAME_LABELS,
@@ -39,48 +40,43 @@ DEFAULT_ALIASES = {
 }
 
 
-MAX_ALIASES = 10000
-
-
-def alias_rows(aliases: DataFrame) -> dict[tuple[str, str, str], list[str]]:
-    """A stored alias table (site, property_type, field, label, rank) as configuration.
-
-    It is written by hand, some dozens of rows per site; a table that is not is
-    refused.
-    """
-    rows = aliases.select("site", "property_type", "field", "label", "rank").limit(MAX_ALIASES + 1).collect()
-    if len(rows) > MAX_ALIASES:
-        raise ValueError(f"more than {MAX_ALIASES} label aliases")
-    out: dict[tuple[str, str, str], list[str]] = {}
-    for r in sorted(rows, key=lambda r: r["rank"]):
-        out.setdefault((r["site"], r["property_type"], r["field"]), []).append(r["label"])
-    return out
-
-
-def field_values(
-    fields: list[str], site_aliases: dict[tuple[str, str, str], list[str]] | None = None
-) -> Column:
+def field_values(fields: list[str]) -> Column:
     """Per field the first non-empty value under its labels, as one array in field order.
 
-    The site's own labels go first.  A projection over the pairs of the page: no
-    join and no shuffle.
+    A projection over the pairs of the page: no join and no shuffle.
     """
-    def labels(field: str) -> Column:
-        out = F.array(*[F.lit(x) for x in DEFAULT_ALIASES[field]])
-        own = {k: v for k, v in (site_aliases or {}).items() if k[2] == field}
-        if not own:
-            return out
-        entries = [x for (site, kind, _), names in own.items() for x in (
-            F.lit(f"{site}|{kind}"), F.array(*[F.lit(n) for n in names])
-        )]
-        mine = F.try_element_at(F.create_map(*entries), F.concat_ws("|", "site", "property_type"))
-        return F.concat(F.coalesce(mine, F.array().cast("array<string>")), out)
-
     def value(names: Column) -> Column:
         found = F.transform(names, lambda label: html.spec("pairs", label))
         return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
 
-    return F.transform(F.array(*map(labels, fields)), value)
+    names = [F.array(*[F.lit(x) for x in DEFAULT_ALIASES[field]]) for field in fields]
+    return F.transform(F.array(*names), value)
+
+
+LABEL_KEYS = 16  # keys a label of a site is spread over: one that every page has is no hot key
+
+
+def site_values(rows: DataFrame, labels: DataFrame, fields: list[str]) -> DataFrame:
+    """Per page and field the first non-empty value under the site's own labels, as columns ``own_<field>``.
+
+    ``rows`` are pages with their ``pairs``, one row a page_id; ``labels`` is a stored table
+    (site, property_type, field, label, rank) of any length, met by an equi-join.  The
+    lowest rank wins, then the smaller label.  Pages without such a value have no row, so
+    the caller joins outer; labels of unknown fields and rows with a NULL are left out.
+    """
+    page = ["page_id", "site", "property_type"]
+    pairs = explode_kept(rows, page, F.filter("pairs", lambda p: p["value"] != ""), "p").select(
+        *page, F.col("p.label").alias("label"), F.col("p.value").alias("value"),
+        F.pmod(F.xxhash64("page_id"), F.lit(LABEL_KEYS)).alias("_key"),
+    )
+    names = (
+        labels.filter(F.col("field").isin(fields))
+        .groupBy("site", "property_type", "field", "label").agg(F.min("rank").alias("rank"))
+        .withColumn("_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LABEL_KEYS - 1).cast("bigint"))))
+    )
+    met = pairs.join(names, ["site", "property_type", "label", "_key"]).filter(F.col("rank").isNotNull())
+    best = lambda f: F.min_by("value", F.when(F.col("field") == f, F.struct("rank", "label")))
+    return met.groupBy("page_id").agg(*[best(f).alias(f"own_{f}") for f in fields])
 
 
 def page_status(body: Column | str, http_status: Column | None = None, head: Column | str | None = None) -> Column:
@@ -134,22 +130,27 @@ def investment_kind(label: Column) -> Column:
     )
 
 
-def extract_listings(
-    pages: DataFrame, site_aliases: dict[tuple[str, str, str], list[str]] | None = None
-) -> DataFrame:
+def extract_listings(pages: DataFrame, site_labels: DataFrame | None = None) -> DataFrame:
     """Pages (page_id, site, property_type, url, html) to raw listing rows.
 
-    Ended and busy pages are left out.  One pass over the pages without a shuffle.
+    Ended and busy pages are left out.  One pass over the pages without a shuffle.  With a
+    table of site labels (see ``site_values``) the labels of the site go first; the pairs of
+    each page, not its text, are then written and joined by page_id.
     """
     live = pages.filter(page_status("html") == "active")
     fields = [f for f in DEFAULT_ALIASES if f != "property_name"]
     rows = label_rows(live).select(
         "page_id", "site", "property_type", "url", property_name().alias("property_name"),
-        field_values(fields, site_aliases).alias("_values"),
+        field_values(fields).alias("_values"), *([] if site_labels is None else ["pairs"]),
     )
+    default = {f: F.get("_values", F.lit(i)) for i, f in enumerate(fields)}
+    value = {"property_name": F.col("property_name"), **default}
+    if site_labels is not None:
+        rows = stage(rows, "pairs")
+        rows = rows.join(site_values(rows, site_labels, list(value)), "page_id", "left")
+        value = {f: F.coalesce(F.col(f"own_{f}"), v) for f, v in value.items()}
     return rows.select(
-        "page_id", "site", "property_type", "url", "property_name",
-        *[F.get("_values", F.lit(i)).alias(f) for i, f in enumerate(fields)],
+        "page_id", "site", "property_type", "url", *[v.alias(f) for f, v in value.items()],
     ).withColumn("invest_kind", investment_kind(F.col("type_label")))
 
 

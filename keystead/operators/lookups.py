@@ -253,46 +253,56 @@ def with_places(
     return _without_helpers(valued.withColumns(_public_price_columns()), df)
 
 
-def _pieces(c: Column) -> Column:
-    """All distinct substrings of a place name."""
-    starts = F.sequence(F.lit(1), F.char_length(c))
-    return F.array_distinct(F.flatten(F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.char_length(c) - i + 1), lambda n: F.substring(c, i, n)
-        ),
-    )))
-
-
-def land_price_by_part(dim: DataFrame, seq: str = "land_id") -> tuple[DataFrame, DataFrame]:
-    """Land prices keyed by every part of the place names.
-
-    "The stored name contains the asked name" becomes an equi-join: each stored
-    row is listed once under every substring of its names (place names are a few
-    characters long), and per key only the winner is kept: residential rows
-    first, then the earliest row.  Returns the city level and the prefecture
-    level.
+def _grams(c: Column, n: int) -> Column:
+    """Distinct runs of n signs of a name."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: i + n - 1 <= F.char_length(c))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, n)))
+
+
+def containment_pairs(asked: DataFrame, stored: DataFrame, part: str, name: str) -> DataFrame:
+    """Pairs (part, name) of distinct asked parts and stored names where the name holds the part.
+
+    An inverted index: a stored name is listed under its signs and its pairs of signs, so
+    twice its length, and an asked part meets the list of its rarest pair (of its sign, if
+    it has one only) and is verified there.  Empty and NULL names pair with nothing.
     """
-    named = dim.filter((F.col("prefecture") != "") & (F.col("city") != ""))
-    city = (
-        named.select(
-            F.explode(_pieces(F.col("prefecture"))).alias("_pref"), "city", "average", "land_use", F.col(seq)
-        )
-        .select("_pref", F.explode(_pieces(F.col("city"))).alias("_city"), "average", "land_use", F.col(seq))
-        .groupBy("_pref", "_city")
-        .agg(
-            F.min_by("average", F.struct(F.col("land_use") != "residential", F.col(seq)))
-            .cast("bigint").alias("_city_price")
-        )
+    parts = asked.select(F.col(part).alias("_part")).filter(F.col("_part") != "").distinct()
+    names = stored.select(F.col(name).alias("_name")).filter(F.col("_name") != "").distinct()
+    listed = names.select("_name", F.explode(F.concat(_grams(F.col("_name"), 1), _grams(F.col("_name"), 2))).alias("_gram"))
+    sizes = listed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keys = F.when(F.char_length("_part") == 1, _grams(F.col("_part"), 1)).otherwise(_grams(F.col("_part"), 2))
+    rarest = (
+        parts.select("_part", F.explode(keys).alias("_gram")).join(sizes, "_gram")
+        .groupBy("_part").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    )
+    met = rarest.join(listed, "_gram").filter(F.contains("_name", F.col("_part")))
+    return met.select(F.col("_part").alias(part), F.col("_name").alias(name))
+
+
+def land_price_by_part(dim: DataFrame, places: DataFrame, pref: str, city: str, seq: str = "land_id") -> tuple[DataFrame, DataFrame]:
+    """Land prices of the asked (distinct) places, found by parts of the stored names.
+
+    Per place the winner of all rows whose names contain it: residential rows first, then
+    the earliest.  Returns the city level (pref, city, _city_price) and the prefecture level
+    (pref, _pref_price), the mean over all rows that contain the prefecture.
+    """
+    order = F.struct(F.col("land_use") != "residential", F.col(seq))
+    best = (
+        dim.filter((F.col("prefecture") != "") & (F.col("city") != "")).groupBy("prefecture", "city")
+        .agg(F.min_by("average", order).alias("average"), F.min(order).alias("_order"))
     )
-    pref = (
-        dim.filter(F.col("prefecture") != "")
-        .select(F.explode(_pieces(F.col("prefecture"))).alias("_pref"), "average")
-        .groupBy("_pref")
-        .agg(F.avg("average").alias("_mean"))
-        .select("_pref", _whole(F.nullif(F.col("_mean"), F.lit(0.0))).alias("_pref_price"))
+    sums = dim.filter(F.col("prefecture") != "").groupBy("prefecture").agg(
+        F.sum(F.col("average").cast("double")).alias("_sum"), F.count("average").alias("_n")
     )
-    return city, pref
+    by_pref = containment_pairs(places, sums, pref, "prefecture")
+    by_city = (
+        places.select(pref, city).join(containment_pairs(places, best, city, "city"), city)
+        .join(best, "city").join(by_pref, [pref, "prefecture"])
+        .groupBy(pref, city).agg(F.min_by("average", "_order").cast("bigint").alias("_city_price"))
+    )
+    mean = F.try_divide(F.sum("_sum"), F.sum("_n"))
+    prefs = by_pref.join(sums, "prefecture").groupBy(pref).agg(_whole(F.nullif(mean, F.lit(0.0))).alias("_pref_price"))
+    return by_city, prefs
 
 
 def with_land_price_contains(
@@ -305,16 +315,11 @@ def with_land_price_contains(
     places are written once, so that the join back knows how few they are and
     leaves the listings unshuffled.
     """
-    by_city, by_pref = land_price_by_part(dim, seq)
-    places = df.select(F.col(pref).alias("_pref"), F.col(city).alias("_city")).distinct()
-    asked = F.coalesce((F.col("_pref") != "") & (F.col("_city") != ""), F.lit(False))
-    priced = (
-        places.join(by_city, ["_pref", "_city"], "left")
-        .join(by_pref, "_pref", "left")
-        .select(
-            F.col("_pref").alias(pref), F.col("_city").alias(city),
-            F.when(asked, F.coalesce("_city_price", "_pref_price")).alias(out),
-        )
+    places = stage(df.select(pref, city).distinct(), "asked")
+    by_city, by_pref = land_price_by_part(dim, places, pref, city, seq)
+    asked = F.coalesce((F.col(pref) != "") & (F.col(city) != ""), F.lit(False))
+    priced = places.join(by_city, [pref, city], "left").join(by_pref, pref, "left").select(
+        pref, city, F.when(asked, F.coalesce("_city_price", "_pref_price")).alias(out)
     )
     return df.join(stage(priced, "places"), [pref, city], "left").withColumn(
         out, F.coalesce(out, F.lit(vocab.DEFAULT_LAND_PRICE).cast("bigint"))

@@ -8,12 +8,12 @@ from keystead import vocab
 from keystead.functions import html
 from keystead.functions.text import explode_kept
 from keystead.operators import extract, quality, screening, upsert
-from keystead.plans.quality_queries import REQUIRED, joined_reasons
+from keystead.plans.quality_queries import PREDICTION_ERRORS_SQL, REQUIRED, joined_reasons, prediction_errors
 from keystead.plans.registry import has, query, trim, whole
 from keystead.plans.testbed import cte, load, table
 from keystead.plans.text_queries import url_sql
-from keystead.session import scratch_path
-from keystead.sources import logs, tables
+from keystead.session import scratch_path, stage
+from keystead.sources import logs, pages, tables
 
 PAGE = cte("page")
 
@@ -147,6 +147,48 @@ def extract_listings(spark, sf):
     return out.select("page_id", "site", "property_type", "property_name", *[c for c, _ in SPECS], "invest_kind")
 
 
+# labels that a site has of its own, for some sites and types; one of them on every page, one on none
+_OWN = [
+    ("address", "交通", 0, "property_type = 'mansion'"), ("price_text", "築年月", 1, "site = 'building'"), ("price_text", "ない", 0, "true"),
+    ("traffic", "所在地", 2, "site <> 'furniture'"), ("traffic", "備考", 1, "site = 'machinery'"), ("property_name", "種別", 0, "site = 'household'"),
+]
+SITE_LABELS = "\nunion all ".join(
+    f"select site, property_type, '{field}' as field, '{label}' as label, {rank} as rank from (select distinct company as site, property_type from listing) k where {test}"
+    for field, label, rank, test in _OWN
+)
+_KIND = "nullif(case page_id % 4 when 0 then '一棟アパート' when 1 then '中古一戸建て' when 2 then 'ビル' else '' end, '')"
+_OWN_VALUE = {
+    "property_name": f"case when p.site = 'household' then {_KIND} end", "price_text": f"case when p.site = 'building' then {_value('built_text')} end",
+    "address": f"case when p.property_type = 'mansion' then {_value("coalesce(traffic, '')")} end",
+    "traffic": f"coalesce(case when p.site = 'machinery' then {_value("coalesce(biko, '')")} end, case when p.site <> 'furniture' then {_value('address')} end)",
+}
+
+
+@query("site_labels", f"""{PAGE}, live as (select * from page where {STATUS_SQL} = 'active')
+select page_id, p.site, p.property_type, {", ".join(f"coalesce({_OWN_VALUE.get(c, 'null')}, {v}) as {c}" for c, v in [("property_name", NAME_SQL), *SPECS])} from live p join listing l on p.page_id = l.listing_id""")
+def site_labels(spark, sf):
+    load(spark, sf, "listing").createOrReplaceTempView("listing")
+    labels = stage(spark.sql(SITE_LABELS), "site-labels")
+    out = extract.extract_listings(load(spark, sf, "page"), labels)
+    return out.select("page_id", "site", "property_type", "property_name", *[c for c, _ in SPECS])
+
+
+_PRICE, _BUILT, _NOTE = trim("price_text"), trim("built_text"), trim("coalesce(biko, '')")
+
+
+@query("label_contains", f"""{PAGE} select page_id, {_PRICE} as price, {trim("coalesce(property_name, '-')")} as name, case when page_id % 5 = 0 then '後の名前' else {trim("coalesce(property_name, '-')")} end as named,
+  {_BUILT} as built, cast(null as string) as built_part, coalesce({_value("built_text")}, '無関係') as built_running, {_NOTE} as note, {_PRICE} as price_asked, {_BUILT} as month from {_PAGE_JOIN}""")
+def label_contains(spark, sf):
+    rows = extract.label_rows(load(spark, sf, "page").select("page_id", "html"))
+    pairs = F.col("pairs")
+    return rows.select(
+        "page_id", html.lookup(pairs, "価格").alias("price"), html.lookup(pairs, "名").alias("name"), html.lookup(pairs, "物件名").alias("named"),
+        html.lookup(pairs, "築年月").alias("built"), html.lookup(pairs, "築年").alias("built_part"),
+        html.lookup(pairs, "築年", "markup").alias("built_running"), html.lookup(pairs, "考").alias("note"),
+        html.lookup_two_way(pairs, "販売 価格（税込）：").alias("price_asked"), html.lookup_two_way(pairs, "年月", partial=True).alias("month"),
+    )
+
+
 @query("page_images", f"""{PAGE}, i as (select page_id, 'http://ex.example/img/' || cast(page_id as string) || '/1.jpg' as u, 1 as pos, 'exterior' as category from page
   union all select page_id, url || '2.png?w=1', 2, 'layout' from page union all select page_id, 'http://ex.example/img/' || cast(page_id as string) || '/3.JPG', 3, 'interior' from page
   union all select page_id, 'http://cdn.ex.example/4.webp', 4, 'interior' from page union all select page_id, 'http://ex.example/img/5.jpeg', 5, 'interior' from page)
@@ -233,6 +275,39 @@ def error_notes(spark, sf):
     )
 
 
+@query("error_pages_read", f"""{cte("listing")}, r as (select *, {joined_reasons(REQUIRED)} as reasons from listing)
+select company || '_' || property_type || '_page' as company_type, sha256(url) || '.html' as file, trim(url) as url, replace(reasons, ',', ', ') as reason, strftime(input_ts, '%Y-%m-%d') as day from r where reasons <> ''""")
+def error_pages_read(spark, sf):
+    """The notes of the rejected rows, written as files and read back."""
+    checked = quality.apply_rules(load(spark, sf, "listing"), quality.required_rules())
+    _, rejected = quality.split_valid(checked)
+    model = F.concat(F.initcap("company"), F.initcap("property_type"), F.lit("Page"))
+    path = scratch_path(spark, "error-pages")
+    logs.write_error_pages(extract.error_rows(rejected, model, F.col("input_ts")), path)
+    return logs.read_error_pages(spark, path).withColumn("day", F.date_format("ts", "yyyy-MM-dd")).drop("ts")
+
+
+@query("page_files", "select page_id, cast(length(html) as bigint) as n_chars, md5(html) as body from pages")
+def page_files(spark, sf):
+    path = scratch_path(spark, "page-files")
+    n = F.col("page_id")
+    given = table(spark, sf, "pages").select(F.concat((n % 10).cast("string"), F.lit("/"), n.cast("string"), F.lit(".html")).alias("file"), "html")
+    pages.write_page_files(given, path)
+    return pages.read_page_files(spark, path).select(
+        F.regexp_extract("url", r"(\d+)\.html$", 1).cast("bigint").alias("page_id"), F.char_length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("body")
+    )
+
+
+@query("prediction_error_file", PREDICTION_ERRORS_SQL)
+def prediction_error_file(spark, sf):
+    """Prediction errors, appended in two runs and read back."""
+    path = scratch_path(spark, "prediction-errors")
+    found = prediction_errors(spark, sf).withColumn("error_ratio", F.col("error_ratio").cast("string"))
+    for part in (0, 1):
+        logs.append_prediction_errors(found.filter(F.col("eval_id") % 2 == part), path)
+    return spark.read.schema("eval_id bigint, error_ratio double").option("header", True).csv(path)
+
+
 @query("crawl_log", f"""{cte("crawl")} select url, status, company || '_' || property_type as model, case when status = 'FAILURE' then 'value ' || cast({whole("value")} as string) end as error,
   strftime(ts, '%Y-%m-%d %H:%M:%S') as at from crawl""")
 def crawl_log(spark, sf):

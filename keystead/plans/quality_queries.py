@@ -188,9 +188,12 @@ def heal_targets(spark, sf):
 BEST_PRED = "coalesce(nullif(pred2, 0), nullif(pred1, 0), 0)"
 
 
-@query("prediction_errors", f"""{BOTH}, j as (select eval_id, {BEST_PRED} as predicted, price_yen / 10000.0 as actual
+PREDICTION_ERRORS_SQL = f"""{BOTH}, j as (select eval_id, {BEST_PRED} as predicted, price_yen / 10000.0 as actual
   from evaluation e join listing l on e.property_id = l.property_id), r as (select *, (predicted - actual) / actual as ratio from j where actual > 0)
-select eval_id, round(ratio, 4) as error_ratio from r where abs(ratio) >= 0.3""")
+select eval_id, round(ratio, 4) as error_ratio from r where abs(ratio) >= 0.3"""
+
+
+@query("prediction_errors", PREDICTION_ERRORS_SQL)
 def prediction_errors(spark, sf):
     evals = load(spark, sf, "evaluation").select("property_id", "eval_id", "pred1", "pred2")
     rows = evals.join(load(spark, sf, "listing").select("property_id", "price_yen"), "property_id").select(

@@ -12,7 +12,8 @@ from keystead.plans.registry import has, query, trim
 from keystead.plans.testbed import cte, load, table
 from keystead.plans.text_queries import AGE_SQL, canonical_sql
 from keystead.plans.value_queries import NUDGE, TRADE_SQL, priced_listings, rounded
-from keystead.session import stage
+from keystead.session import scratch_path, stage
+from keystead.sources import logs
 from keystead.sources.tables import union_sources
 
 BOTH = cte("listing", "evaluation")
@@ -92,9 +93,12 @@ def job_summary(spark, sf):
     return aggregates.job_summary(jobs)
 
 
-@query("error_report", f"""{cte("crawl")}, e as (select company || '_' || property_type as company_type, ts from crawl where status = 'FAILURE')
+ERROR_REPORT_SQL = f"""{cte("crawl")}, e as (select company || '_' || property_type as company_type, ts from crawl where status = 'FAILURE')
 select company_type, count(*) as total, count(*) filter (where ts >= timestamp '{NOW}' - interval 24 hour) as recent_24h, grouping(company_type) = 1 as is_total,
-  grouping(company_type) = 1 and count(*) filter (where ts >= timestamp '{NOW}' - interval 24 hour) >= 5 as alert from e group by rollup (company_type)""")
+  grouping(company_type) = 1 and count(*) filter (where ts >= timestamp '{NOW}' - interval 24 hour) >= 5 as alert from e group by rollup (company_type)"""
+
+
+@query("error_report", ERROR_REPORT_SQL)
 def error_report(spark, sf):
     errors = load(spark, sf, "crawl").filter("status = 'FAILURE'").withColumn(
         "company_type", F.concat_ws("_", "company", "property_type")
@@ -102,6 +106,14 @@ def error_report(spark, sf):
     return aggregates.error_report(errors, F.lit(NOW).cast("timestamp"))
 
 
+@query("report_file", ERROR_REPORT_SQL)
+def report_file(spark, sf):
+    """The error report, written as a JSON report and read back."""
+    path, report = scratch_path(spark, "report"), error_report(spark, sf)
+    logs.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @query("daily_budget", """select event_id, case when row_number() over (partition by cast(ts as date) order by ts, event_id) <= 200 then 'processing' else 'skipped_by_budget' end as budget_status from events""")
 def daily_budget(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "ts")
@@ -357,6 +369,32 @@ def regression_metrics(spark, sf):
     return out.withColumns({"mape": F.round("mape", 3), "mae": F.round("mae", 4), "r2": F.round("r2", 6)})
 
 
+def _fold_sql(pred, name):
+    rel = "abs(((case when y = 0 then 1.0 else y end) - p) / (case when y = 0 then 1.0 else y end))"
+    return f"""{name}_f as (select property_type, fold, avg({rel}) * 100 as mape, avg(abs(y - p)) as mae, 1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0) as r2
+    from (select *, cast({pred} as double) as p from ev where {pred} is not null) x group by 1, 2),
+  {name} as (select property_type, avg(mape) as mape, avg(mae) as mae, avg(r2) as r2 from {name}_f group by 1)"""
+
+
+@query("champions", f"""{BOTH}, ev as (select eval_id % 5 as fold, pred1, pred2, price_yen / 10000.0 as y, l.property_type from evaluation e join listing l on e.property_id = l.property_id where price_yen is not null),
+{_fold_sql("pred1", "a")}, {_fold_sql("pred2", "b")}
+select coalesce(a.property_type, b.property_type) as property_type, round(a.mape, 3) as champion_mape, round(a.mae, 4) as champion_mae, round(a.r2, 6) as champion_r2, round(b.mape, 3) as challenger_mape, round(b.mae, 4) as challenger_mae,
+  round(b.r2, 6) as challenger_r2, case when b.mape < a.mape or (a.mape is null and b.mape is not null) then 'challenger' else 'champion' end as winner from a full join b on a.property_type = b.property_type""")
+def champions(spark, sf):
+    """Stored predictions of two model generations over the same folds."""
+    evals = load(spark, sf, "evaluation").select("property_id", "eval_id", "pred1", "pred2")
+    rows = evals.join(load(spark, sf, "listing").select("property_id", "property_type", "price_yen"), "property_id").filter("price_yen IS NOT NULL")
+
+    def metrics(pred):
+        known = rows.filter(F.col(pred).isNotNull()).select(
+            "property_type", (F.col("eval_id") % 5).alias("fold"), F.col(pred).cast("double").alias("predicted"), (F.col("price_yen") / 10000.0).alias("actual")
+        )
+        return aggregates.regression_metrics(known, ["property_type"])
+
+    out = training.better_models(metrics("pred1"), metrics("pred2"), ["property_type"])
+    return out.withColumns({f"{s}_{c}": F.round(f"{s}_{c}", d) for s in ("champion", "challenger") for c, d in (("mape", 3), ("mae", 4), ("r2", 6))})
+
+
 @query("errors_by_period", f"""{BOTH}, {PRED_SQL}
 select property_type, city, strftime(date_trunc('month', analyzed_at), '%Y-%m') as period, round(avg(abs((y - p) / y)) * 100 + {NUDGE}, 4) as mape, round(avg(abs(y - p)) + {NUDGE}, 4) as mae, count(*) as n from pr where y > 0 group by 1, 2, 3""")
 def errors_by_period(spark, sf):

@@ -293,6 +293,12 @@ def address_split(spark, sf):
     return rows.select("listing_id", "s.*", F.col("l.prefecture").alias("light_prefecture"), F.col("l.city").alias("light_city"))
 
 
+@query("light_keys", f"""{LISTING}, a as (select listing_id, coalesce(address, '') as a from listing), b as (select *, regexp_extract(a, '^(東京都|京都府|大阪府|北海道|[^県]+[県])', 1) as prefecture from a)
+select listing_id, prefecture, case when prefecture <> '' then regexp_extract(substr(a, length(prefecture) + 1), '^([^市町村]+[市区町村])', 1) else '' end as city from b""")
+def light_keys(spark, sf):
+    return listing(spark, sf).select("listing_id", address.light_key_investment("address").alias("k")).select("listing_id", "k.*")
+
+
 # --- access routes -------------------------------------------------------------------------
 
 _FRAGMENTS = f"""regexp_replace(traffic, '[\\r\\n]+', '  ', 'g')"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keystead import schemas
 from keystead.functions.text import extract, strip
+from keystead.sources.files import write_row_files
 
 
 def append_crawl_log(rows: DataFrame, path: str) -> None:
@@ -49,6 +50,16 @@ def read_error_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_error_pages(errors: DataFrame, path: str) -> None:
+    """Write error rows (see ``extract.error_rows``) as notes, one file each: folder/file_meta.txt."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit("")), F.lit("\n"))
+    note = F.concat(
+        line("URL", F.col("url")), line("Reason", F.col("reason")),
+        F.when(F.col("ts").isNull(), "").otherwise(line("Timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))),
+    )
+    write_row_files(errors.select(F.concat("company_type", F.lit("/"), "file", F.lit("_meta.txt")).alias("path"), note.alias("content")), path)
+
+
 def append_prediction_errors(errors: DataFrame, path: str) -> None:
     """Append prediction errors as CSV."""
     errors.write.mode("append").option("header", True).csv(path)

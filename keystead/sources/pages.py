@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keystead import schemas
 from keystead.operators.extract import decode_page
+from keystead.sources.files import write_row_files
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -18,3 +19,8 @@ def read_page_files(spark: SparkSession, path: str, charset: str = "utf-8", glob
     return files.select(
         F.col("path").alias("url"), decode_page("content", charset).alias("html"), F.col("modificationTime").alias("ts")
     )
+
+
+def write_page_files(pages: DataFrame, path: str, file: str = "file", html: str = "html") -> None:
+    """Save pages as files in UTF-8, named by a column of distinct relative paths."""
+    write_row_files(pages.select(F.col(file).alias("path"), F.encode(html, "utf-8").alias("content")), path)

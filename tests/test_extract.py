@@ -59,13 +59,32 @@ def test_name_cascade(page):
     assert extract.label_rows(bare).select(extract.property_name()).first()[0] == "家 & 庭"
 
 
-def test_site_aliases_go_first(spark, page):
-    rows = spark.createDataFrame([("s", "mansion", "price_text", "築年月", 0)], "site string, property_type string, field string, label string, rank int")
-    own = extract.alias_rows(rows)
-    assert extract.extract_listings(page, own).first()["price_text"] == "1998年3月"
+LABELS = "site string, property_type string, field string, label string, rank int"
+
+
+def test_site_labels_go_first(spark, page):
+    rows = spark.createDataFrame([("s", "mansion", "price_text", "築年月", 0)], LABELS)
+    assert extract.extract_listings(page, rows).first()["price_text"] == "1998年3月"
     assert extract.extract_listings(page).first()["price_text"] == "5,480万円"
 
 
+def test_site_labels_rank_ties_and_nulls(spark):
+    def listed(i, cells):
+        return i, "s", "mansion", f"http://x/{i}", "<table>" + "".join(f"<tr><th>{k}</th><td>{v}</td></tr>" for k, v in cells) + "</table>"
+
+    pages = spark.createDataFrame([
+        listed(1, [("甲", "1"), ("乙", "2"), ("丙", "3")]), listed(2, [("甲", ""), ("乙", "2")]), listed(3, [("備考", "x")]), (4, "s", "mansion", "u", None), (5, None, None, "u", "<p>"),
+    ], "page_id long, site string, property_type string, url string, html string")
+    rows = [("s", "mansion", "biko", "甲", 1), ("s", "mansion", "biko", "乙", 1), ("s", "mansion", "biko", "丙", 2), ("s", "kodate", "biko", "丙", 0),
+            ("s", "mansion", "biko", "丙", None), ("s", "mansion", "nothing", "甲", 0), (None, "mansion", "biko", "甲", 0), ("s", "mansion", "price_text", "甲", 5)]
+    # twenty thousand labels that no page has: a table of any length
+    many = spark.range(20000).select(F.lit("s"), F.lit("mansion"), F.lit("biko"), F.concat(F.lit("x"), "id"), F.lit(0)).toDF("site", "property_type", "field", "label", "rank")
+    got = {r["page_id"]: (r["biko"], r["price_text"]) for r in extract.extract_listings(pages, spark.createDataFrame(rows, LABELS).unionByName(many)).collect()}
+    assert got[1] == ("2", "1") and got[2] == ("2", None) and got[3] == ("x", None)  # 乙 sorts before 甲
+    none = spark.createDataFrame([], LABELS)
+    assert extract.extract_listings(pages, none).exceptAll(extract.extract_listings(pages)).isEmpty()
+
+
 def test_parse_pages(page):
     ok, bad = parse_pages(page)
     assert ok.isEmpty() and bad.first()["reasons"] == ["area_missing"]  # the page has no area

@@ -58,6 +58,23 @@ def test_page_files(spark, tmp_path):
     assert r["html"] == "価格" * 800
 
 
+def test_files_are_written_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a_mansion", "f1", "http://x/1", "no price", dt.datetime(2024, 1, 2, 3, 4, 5)), ("b_tochi", "f2", None, " other ", None)],
+                                 "company_type string, file string, url string, reason string, ts timestamp")
+    for _ in range(2):  # a run again writes the same files
+        logs.write_error_pages(rows, str(tmp_path / "notes"))
+    got = {r["file"]: r for r in logs.read_error_pages(spark, str(tmp_path / "notes")).collect()}
+    assert set(got) == {"f1.html", "f2.html"}
+    assert (got["f1.html"]["company_type"], got["f1.html"]["url"], got["f1.html"]["reason"], got["f1.html"]["ts"]) == ("a_mansion", "http://x/1", "no price", dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert got["f2.html"]["reason"] == "other" and got["f2.html"]["ts"] is not None
+    saved = spark.createDataFrame([("1/a.html", "価格"), ("2.html", None)], "file string, html string")
+    pages.write_page_files(saved, f"file:{tmp_path}/pages")
+    read = sorted((r["url"].rsplit("/pages/", 1)[1], r["html"]) for r in pages.read_page_files(spark, str(tmp_path / "pages")).collect())
+    assert read == [("1/a.html", "価格")] and (tmp_path / "pages" / "2.html").read_bytes() == b""  # Spark reads no empty files
+    assert not [p for p in tmp_path.rglob("*.part")]
+    pages.write_page_files(saved.limit(0), str(tmp_path / "empty"))
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2.0)], "a int, b double")
     logs.append_prediction_errors(rows, str(tmp_path / "e"))

@@ -228,3 +228,29 @@ def test_exact_quantiles(spark, seed, n):
     assert [got[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(values, probs)))
     coarse = aggregates.exact_quantiles(df, [], "v", probs, accuracy=10).first()
     assert [coarse[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(values, probs)))
+
+
+def test_containment_pairs_equal_brute_force(spark):
+    import random
+
+    from keystead.operators.lookups import containment_pairs
+
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("川市田中県a") for _ in range(rng.randint(1, n)))
+    stored, asked = {name(7) for _ in range(300)}, {name(4) for _ in range(80)} | {"無い"}
+    a = spark.createDataFrame([(x,) for x in [*asked, "", None, *asked]], "part string")
+    b = spark.createDataFrame([(x,) for x in [*stored, "", None]], "name string")
+    got = [tuple(r) for r in containment_pairs(a, b, "part", "name").collect()]
+    assert sorted(got) == sorted((x, y) for x in asked for y in stored if x in y)
+    assert containment_pairs(a.limit(0), b, "part", "name").isEmpty() and containment_pairs(a, b.limit(0), "part", "name").isEmpty()
+
+
+def test_exact_quantiles_of_one_hot_group(spark):
+    import numpy as np
+
+    hot = spark.range(200000).select(F.lit("hot").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(10**6)) / 7.0).alias("v"))
+    rows = hot.unionByName(spark.createDataFrame([("small", 1.0), ("small", 2.0), ("none", None), (None, 1.0)], "g string, v double"))
+    got = {r["g"]: r for r in aggregates.exact_quantiles(rows, ["g"], "v", [0.25, 0.5, 0.999], accuracy=100).collect()}
+    values = np.array([r["v"] for r in hot.collect()])
+    assert [got["hot"][f"q{i}"] for i in range(3)] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.999])))
+    assert got["small"]["q1"] == 1.5 and set(got) == {"hot", "small"}
