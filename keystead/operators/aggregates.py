@@ -255,12 +255,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         F.percentile_approx("_v", [(i + 1) / RANGES for i in range(RANGES)], F.lit(accuracy)).alias("_ends")
     )
     ranged = lines.join(F.broadcast(ends), group).withColumn("_range", F.size(F.filter("_ends", lambda e: e < F.col("_v")))).drop("_ends")
-    sums = ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_all"))
+    sums = ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_held"))
     before = Window.partitionBy(*group).orderBy("_range")
-    starts = sums.select(*group, "_range", "_all", (F.sum("_all").over(before) - F.col("_all")).alias("_start"))
+    starts = sums.select(*group, "_range", "_held", (F.sum("_held").over(before) - F.col("_held")).alias("_start"))
     held = (
         ranged.join(F.broadcast(starts), [*group, "_range"])  # RANGES + 1 rows per group and quantile
-        .filter((F.col("_start") <= F.ceil("_rank")) & (F.floor("_rank") < F.col("_start") + F.col("_all")))
+        .filter((F.col("_start") <= F.ceil("_rank")) & (F.floor("_rank") < F.col("_start") + F.col("_held")))
     )
     inside = Window.partitionBy(*group, "_range").orderBy("_v")
     upto = held.withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
