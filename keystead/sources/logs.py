@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keystead import schemas
 from keystead.functions.text import extract, strip
-from keystead.sources.files import write_row_files
+from keystead.sources.files import read_row_files, write_row_files
 
 
 def append_crawl_log(rows: DataFrame, path: str) -> None:
@@ -38,15 +38,15 @@ def read_error_pages(spark: SparkSession, path: str) -> DataFrame:
 
     A note without a time takes the time of its file.
     """
-    notes = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*_meta.txt")
-    name = F.col("_metadata.file_path")
+    notes = read_row_files(spark, path, "_meta.txt").withColumnRenamed("content", "value")
+    name = F.col("path")
     stamp = F.try_to_timestamp(meta_field("value", "Timestamp"), F.lit("yyyy-MM-dd HH:mm:ss"))
     return notes.select(
         F.regexp_extract(name, "([^/]+)/[^/]+$", 1).alias("company_type"),
         F.regexp_replace(F.regexp_extract(name, "([^/]+)$", 1), "_meta\\.txt$", ".html").alias("file"),
         meta_field("value", "URL").alias("url"),
         meta_field("value", "Reason").alias("reason"),
-        F.coalesce(stamp, F.col("_metadata.file_modification_time")).alias("ts"),
+        F.coalesce(stamp, F.col("modified")).alias("ts"),
     )
 
 

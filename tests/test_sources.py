@@ -122,3 +122,15 @@ def test_union(spark):
 def test_prefecture_codes(one):
     assert one(tables.trade_prefecture, "14") == "神奈川県"
     assert one(tables.trade_prefecture, "99") == "東京都"
+
+
+def test_notes_are_not_listed_by_the_driver(spark, tmp_path):
+    rows = spark.range(300).selectExpr(
+        "concat('s', id % 3, '_x') as company_type", "concat('f', id, '.html') as file", "concat('http://x/', id) as url",
+        "'無' as reason", "timestamp'2024-01-02 03:04:05' as ts",
+    )
+    logs.write_error_pages(rows, str(tmp_path / "notes"))
+    (tmp_path / "notes" / "s0_x" / "other.txt").write_text("URL: no")
+    read = logs.read_error_pages(spark, f"file:{tmp_path}/notes")
+    assert read.inputFiles() == []  # of no file does the plan know
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
