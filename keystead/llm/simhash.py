@@ -87,8 +87,11 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return masks
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp) that join all within two bits."""
+def near_links(prints: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) that join all within two bits.
+
+    The table they are read from is added to ``held``, for the caller to release.
+    """
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for t, m in enumerate(covering_masks())])
     keyed = prints.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.k")
     buckets = stage(
@@ -97,6 +100,8 @@ def near_links(prints: DataFrame) -> DataFrame:
         .where("n > 1"),
         "buckets",
     )
+    if held is not None:
+        held.append(buckets)
     twos = buckets.where((F.col("n") == 2) & (F.bit_count("varying") <= RADIUS)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     large = buckets.where("n > 2").select(F.col("t").alias("bt"), F.col("k").alias("bk"), "varying")
     members = keyed.join(large, (F.col("t") == F.col("bt")) & (F.col("k") == F.col("bk"))).groupBy("fp").agg(F.expr("bit_or(varying)").alias("varying"))

@@ -107,3 +107,18 @@ def test_staged_tables_are_removed(spark, docs_of, tmp_path):
     near.representatives(docs_of(edited(30, 5))).count()
     left = {n.rsplit("-", 1)[0] for n in set(os.listdir(scratch_root(spark).removeprefix("file:"))) - before}
     assert left <= {"links", "stars", "rows", "representatives", "repeated"}
+
+
+def test_fingerprints_name_the_first_pairs(docs_of):
+    """Texts within two bits are joined by SimHash alone, and only where their sets are similar."""
+    base = [f"w{i}" for i in range(4000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "end"])), (2, "a b c d e"), (3, "f g h i j"), (4, None), (5, "A b C d e")]
+    every = near.sets(docs_of(rows)).localCheckpoint()
+    prints = {r["doc_id"]: (r["fp"], r["s"]) for r in every.collect()}
+    assert prints[4][0] == 0 and prints[2] == prints[5]
+    assert (prints[0][0] ^ prints[1][0]).bit_count() <= 2 and prints[0][1] != prints[1][1]
+    assert all(f & (2**64 - 1) == simhash.fingerprint(dict(rows)[i] or "", near.WORDS) for i, (f, _) in prints.items())
+    found = {(r["a"], r["b"]) for r in near.fingerprint_pairs(every).collect()}
+    assert tuple(sorted((prints[0][1], prints[1][1]))) in found
+    assert all(min((prints[i][0] ^ prints[k][0]).bit_count() for i in prints for k in prints if {prints[i][1], prints[k][1]} == {a, b}) <= 4 for a, b in found)
+    assert kept(near.representatives(docs_of(rows))) == [0, 2, 3, 4]
