@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,10 +30,11 @@ from keystead.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 200_000  # words of the transducer
 LEXICON_BYTES = 64  # longer words are merged
-MEMO = 400_000  # stretches of text a task remembers at most
+MEMO = 300_000  # stretches of text a task remembers at most
 PIECE = 1 << 20  # characters taken at once
 SIDE_BY_SIDE = 48  # bytes of the longest words that are merged together
-SLOT_BITS = 20  # of the table of merges
+SLOT_BITS = 18  # of the table of merges
+ID = np.dtype("<i4")  # of packed ids
 HASH = 0x1E3779B97F4A7C15
 NEVER = 2**31 - 1
 
@@ -80,10 +81,10 @@ class Merges:
                 self.single[value[0]] = number
         for token, number in self.special.items():
             self.bytes_of[number] = token.encode()
-        self.rank = {}
+        self.rank: dict[int, int] = {}  # left << 32 | right: rank << 32 | merged id
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.rank[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
         names = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.digits = [str(i) for i in range(size)]
@@ -107,12 +108,12 @@ class Merges:
     def _fill(self) -> None:
         self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
         self.ranks, self.wholes = (np.zeros(1 << SLOT_BITS, dtype=np.int32) for _ in range(2))
-        keys = np.array([a << 32 | b for a, b in self.rank], dtype=np.int64)
+        keys = np.array(list(self.rank), dtype=np.int64)
         first = ((keys * HASH).view(np.uint64) >> np.uint64(64 - SLOT_BITS)).tolist()
-        for at, key, (rank, whole) in zip(first, keys.tolist(), self.rank.values()):
+        for at, key, found in zip(first, keys.tolist(), self.rank.values()):
             while self.slots[at] >= 0:
                 at = (at + 1) & (len(self.slots) - 1)
-            self.slots[at], self.ranks[at], self.wholes[at] = key, rank, whole
+            self.slots[at], self.ranks[at], self.wholes[at] = key, found >> 32, found & 0xFFFFFFFF
 
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
         """Ids of many words, merged side by side; long words one by one."""
@@ -157,22 +158,23 @@ class Merges:
         if n < 2:
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, whole = heapq.heappop(heap)
+            found, i, left, right = heapq.heappop(heap)
             j = after[i] if ids[i] == left else n
             if j >= n or ids[j] != right:
                 continue
+            whole = found & 0xFFFFFFFF
             ids[i], ids[j] = whole, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get((whole, ids[k])):
-                    heapq.heappush(heap, (r[0], i, whole, ids[k], r[1]))
+                if (r := rank.get(whole << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, whole, ids[k]))
             h = before[i]
-            if h >= 0 and (r := rank.get((ids[h], whole))):
-                heapq.heappush(heap, (r[0], h, ids[h], whole, r[1]))
+            if h >= 0 and (r := rank.get(ids[h] << 32 | whole)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], whole))
         return [i for i in ids if i >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -189,11 +191,15 @@ def text_pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 class Encoder:
-    """Encodes texts with a transducer, exact merging, and a bounded memory of stretches."""
+    """Encodes texts with a transducer, exact merging, and a bounded memory of stretches.
+
+    Ids are kept packed, four bytes each: as lists of numbers they take some five times that.
+    """
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.memo: dict[str, list[int]] = {}
+        self.special = {s: np.array([i], ID).tobytes() for s, i in merges.special.items()}
+        self.memo: dict[str, bytes] = {}
 
     def learn(self, stretches: set[str]) -> None:
         """Remember the ids of stretches that are new."""
@@ -202,10 +208,10 @@ class Encoder:
         words = list({*single.values(), *chain.from_iterable(split.values())})
         places = self.lexicon.places(words).tolist() if words else []
         unseen = [w for w, p in zip(words, places) if p < 0]
-        ids = dict(zip(unseen, self.merges.merge_all(unseen)))
-        ids.update((w, self.lexicon.ids_at(p).tolist()) for w, p in zip(words, places) if p >= 0)
+        ids = {w: np.array(i, ID).tobytes() for w, i in zip(unseen, self.merges.merge_all(unseen))}
+        ids.update((w, self.lexicon.ids_at(p).tobytes()) for w, p in zip(words, places) if p >= 0)
         self.memo.update((s, ids[w]) for s, w in single.items())
-        self.memo.update((s, list(chain.from_iterable(map(ids.__getitem__, ws)))) for s, ws in split.items())
+        self.memo.update((s, b"".join(map(ids.__getitem__, ws))) for s, ws in split.items())
 
     def known(self, stretches: list[list[str]]) -> None:
         new = set(chain.from_iterable(stretches)).difference(self.memo)
@@ -214,17 +220,17 @@ class Encoder:
             new = set(chain.from_iterable(stretches))
         self.learn(new)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of some texts; long ones are cut and go by themselves."""
-        special, specials = self.merges.special, self.merges.specials
-        out: list[list[int]] = [[] for _ in texts]
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of some texts; long ones are cut and go by themselves."""
+        special, specials = self.special, self.merges.specials
+        out: list[list[bytes]] = [[] for _ in texts]
         waiting: list[tuple[int, list[str]]] = []
         held = 0
 
         def flush() -> None:
             self.known([s for _, s in waiting])
             for n, stretches in waiting:
-                out[n].extend(chain.from_iterable(map(self.memo.__getitem__, stretches)))
+                out[n].append(b"".join(map(self.memo.__getitem__, stretches)))
             waiting.clear()
 
         for n, text in enumerate(texts):
@@ -240,10 +246,10 @@ class Encoder:
                         flush()
                         held = 0
         flush()
-        return out
+        return [b"".join(parts) for parts in out]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return np.frombuffer(self.packed([text])[0], ID).tolist()
 
 
 _loaded: dict[str, object] = {}  # of a worker process: the last tokenizer and the last encoder
@@ -290,8 +296,11 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> byte
     return compile_lexicon(dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist())))
 
 
-def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows: int = 512) -> DataFrame:
-    """(doc_id, ids) for every row of (doc_id, text)."""
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _encoding(docs: DataFrame, path: str, lexicon: bytes | None, batch_rows: int) -> Step:
+    """(doc_id, text) to (doc_id, ids), the texts in parts of some rows."""
     data = build_lexicon(docs, path) if lexicon is None else lexicon
     shared, name = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
@@ -300,14 +309,45 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows:
             _loaded.update(lexicon=(path, name), encoder=Encoder(merges_of(path), Lexicon(shared.value)))
         encoder = _loaded["encoder"]
         for part in slices(batches, batch_rows):
-            rows = encoder.encode_all(part.column(1).to_pylist())
-            ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
+            rows = encoder.packed(part.column(1).to_pylist())
+            ends = np.cumsum([0] + [len(r) // ID.itemsize for r in rows]).astype(np.int32)
+            flat = np.frombuffer(b"".join(rows), ID)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
         encoder.memo.clear()  # the worker lives on, for other stages
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids array<int>")
+    return work
+
+
+def _digesting(path: str, with_ids: bool) -> Step:
+    """(doc_id, ids) to the columns of `digests`."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = merges_of(path)
+        for batch in batches:
+            n, of_ids, of_text = [], [], []
+            for row in batch.column(1):
+                ids = row.values.to_numpy(zero_copy_only=False).tolist()
+                n.append(len(ids))
+                of_ids.append(hashlib.sha256(",".join(map(merges.digits.__getitem__, ids)).encode()).hexdigest())
+                of_text.append(hashlib.sha256(merges.decode(ids).encode()).hexdigest())
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(1)] * with_ids, names=names + ["ids"] * with_ids)
+
+    return work
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def _digest_kind(with_ids: bool) -> str:
+    return "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+
+
+def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, batch_rows: int = 512) -> DataFrame:
+    """(doc_id, ids) for every row of (doc_id, text)."""
+    return _texts(docs).mapInArrow(_encoding(docs, path, lexicon, batch_rows), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -324,19 +364,10 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 def digests(tokens: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for."""
+    return tokens.mapInArrow(_digesting(path, with_ids), _digest_kind(with_ids))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = merges_of(path)
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for row in batch.column(1):
-                ids = row.values.to_numpy(zero_copy_only=False).tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(merges.digits.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(merges.decode(ids).encode()).hexdigest())
-            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(out + [batch.column(1)] * with_ids, names=names + ["ids"] * with_ids)
 
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return tokens.mapInArrow(work, kind)
+def encoded_digests(docs: DataFrame, path: str, with_ids: bool = False, lexicon: bytes | None = None, batch_rows: int = 512) -> DataFrame:
+    """`digests` of `encode`, both in one Python worker a task: each worker has a vocabulary of its own."""
+    encoding, digesting = _encoding(docs, path, lexicon, batch_rows), _digesting(path, with_ids)
+    return _texts(docs).mapInArrow(lambda batches: digesting(encoding(batches)), _digest_kind(with_ids))

@@ -27,7 +27,7 @@ def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), path)
 
 
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

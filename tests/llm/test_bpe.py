@@ -86,3 +86,20 @@ def test_counts_are_over_all_documents(docs_of):
 
 def test_empty_table(docs_of):
     assert bpe.encode(docs_of([]), PATH).count() == 0
+
+
+def test_one_worker_encodes_and_digests(docs_of, library):
+    """Equal to the two operators one after the other, in one Python step."""
+    rows = list(enumerate(ODD)) + [(100, None), (None, "null id"), (3, "repeated"), (3, "repeated")]
+    out = bpe.encoded_digests(docs_of(rows), PATH, with_ids=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = out.collect()
+    assert sorted((str(r["doc_id"]), *r[1:4]) for r in got) == sorted((str(i), *want(library, t)) for i, t in rows)
+    assert all(hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() == r["ids_sha256"] for r in got)
+
+
+def test_remembered_ids_are_packed(library, merges):
+    encoder = bpe.Encoder(merges, Lexicon(compile_lexicon({b" the": merges.merge(b" the")})))
+    text = "the the qwzxqwzx don't 1234567 日本語"
+    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert {s: len(i) for s, i in encoder.memo.items()} == {s: 4 * len(library.encode(s, add_special_tokens=False).ids) for s in encoder.memo}
