@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ BEGINNINGS = (4, 5, 6)  # letters of word beginnings that are terms too
 BLOCK = 64  # examples of a block
 NEAREST = 15
 REMEMBERED = 200_000  # words of which a task knows the terms
+COUNTED = 100_000  # terms a task counts before it hands the counts on
+PART = 10_000  # counts handed on at a time
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 REST = 1.0  # weight of the words that are no terms, taken together as one
@@ -225,13 +228,22 @@ def pick_terms(rows: DataFrame, terms: int = TERMS) -> list[str]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter[str] = Counter()
         clean: Counter[str] = Counter()
-        for batch in batches:
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            """The counts so far, in parts; the sums come after."""
+            for counts, at in ((toxic, 0), (clean, 1)):
+                for some in batched(counts.items(), PART):
+                    zeros, ns = pa.array([0] * len(some), pa.int64()), pa.array([n for _, n in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in some], pa.string()), *((zeros, ns) if at else (ns, zeros))], names=["term", "a", "b"])
+                counts.clear()
+
+        for batch in slices(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {w for words in word_lists(text) for w in words}
                 (toxic if label else clean).update({t for w in own for t in word_terms(w)})
-        # what no toxic text has can't be a sign of one; its counts are not needed
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(toxic), pa.string()), "a": pa.array(list(toxic.values()), pa.int64()), "b": pa.array([0] * len(toxic), pa.int64())})
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(clean), pa.string()), "a": pa.array([0] * len(clean), pa.int64()), "b": pa.array(list(clean.values()), pa.int64())})
+                if len(toxic) + len(clean) > COUNTED:
+                    yield from counted()
+        yield from counted()
 
     counts = rows.select("toxic", "text").mapInArrow(work, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n_toxic, n_clean = sum(n for y, n in sizes.items() if y), sum(n for y, n in sizes.items() if not y)
@@ -248,7 +260,7 @@ def document_counts(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts, n = Terms(names), np.zeros(size, dtype=np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
                 if own := terms.of_text(text):
@@ -273,7 +285,7 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms(names)
-        for batch in batches:
+        for batch in slices(batches):
             own = [known.counts(t) for t in batch.column(2).to_pylist()]
             kinds = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in own], kinds), pa.array([list(c.values()) for c in own], kinds)], names=["id", "toxic", "terms", "counts"])

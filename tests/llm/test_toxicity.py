@@ -90,3 +90,13 @@ def test_given_documents(spark, documents, sf_dir):
     out = toxicity.scores(docs, labels).join(labels, "doc_id").where("held_out")
     wrong = out.where("toxic = 0 and predicted = 1").count()
     assert wrong <= 1
+
+
+def test_counts_are_handed_on_in_parts(case, monkeypatch):
+    """Terms are the same however few counts a task holds."""
+    docs, labels = case
+    rows = toxicity.sample(docs, labels)
+    want = toxicity.pick_terms(rows)
+    monkeypatch.setattr(toxicity, "COUNTED", 30)
+    monkeypatch.setattr(toxicity, "PART", 7)
+    assert want and toxicity.pick_terms(rows) == want
