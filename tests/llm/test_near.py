@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keystead.llm import near, simhash
@@ -122,3 +123,72 @@ def test_fingerprints_name_the_first_pairs(docs_of):
     assert tuple(sorted((prints[0][1], prints[1][1]))) in found
     assert all(min((prints[i][0] ^ prints[k][0]).bit_count() for i in prints for k in prints if {prints[i][1], prints[k][1]} == {a, b}) <= 4 for a, b in found)
     assert kept(near.representatives(docs_of(rows))) == [0, 2, 3, 4]
+
+
+def test_wide_signatures_lose_no_pair():
+    """They fold to any shorter length, never rule out what is similar, and tell long sets apart."""
+    rng = random.Random(14)
+    for _ in range(100):
+        a = np.unique(np.array([rng.getrandbits(63) for _ in range(rng.randint(1, 3000))]))
+        b = a.copy()
+        for k in range(rng.randint(0, len(a) // 6)):
+            b[rng.randrange(len(b))] = rng.getrandbits(63)
+        b = np.unique(b)[rng.randint(0, len(b) // 20) :]
+        x, y = near.wide_signature(a), near.wide_signature(b)
+        assert (x is None) == (len(a) <= near.WIDE)
+        if x is None or y is None:
+            continue
+        assert near.differing(x, near.signature(a).tobytes()) == 0
+        if near.similar(a, b):
+            assert 9 * near.differing(x, y) <= len(a) + len(b)
+        other = np.unique(np.array([rng.getrandbits(63) for _ in range(len(a))]))
+        assert 9 * near.differing(x, near.wide_signature(other)) > len(a) + len(other)
+
+
+def test_long_texts_that_share_a_passage_are_not_read(docs_of, monkeypatch):
+    """256 bits tell nothing of long sets: without wide signatures all these pairs had their whole sets verified."""
+    rng = random.Random(15)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) + f" {passage}" for _ in range(40)]
+    rows = list(enumerate(long)) + [(100 + i, f"{t} end{i}") for i, t in enumerate(long[:5])]
+    asked, verified = [], near.verified
+
+    def spy(docs, keys, pairs, *rest):
+        pairs = pairs.localCheckpoint()
+        asked.extend((r["a"], r["b"]) for r in pairs.collect())
+        return verified(docs, keys, pairs, *rest)
+
+    monkeypatch.setattr(near, "verified", spy)
+    assert kept(near.representatives(docs_of(rows, extra=False))) == list(range(40))
+    assert len(set(asked)) == 5
+
+
+def test_a_pair_is_made_once_for_a_run(docs_of, monkeypatch):
+    """Two copies with an edit share many leading shingles, but meet at the first of a run only."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "end"]))]
+    monkeypatch.setattr(near, "common_shingles", lambda docs, words=5: (np.zeros(0, dtype=np.int64),) * 2)
+    every = near.sets(docs_of(rows, extra=False)).localCheckpoint()
+    entries = near.recurring_entries(every).localCheckpoint()
+    x, y = entries.alias("x"), entries.alias("y")
+    shared = x.join(y, (near._of("x", "h") == near._of("y", "h")) & (near._of("x", "s") < near._of("y", "s")))
+    assert shared.count() > 50 and 1 <= shared.where(near._first_of_run("x", "y")).count() <= 2
+    assert entries.where("prev is null").count() == 2
+
+
+def test_copies_of_many_shingles_meet_their_pivots_once(docs_of, monkeypatch):
+    """More sets than FEW share their leading shingles: the pairs of a round are distinct, components as before."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(60)] + [(100 + i, " ".join([*words[:60], *[f"v{i}x{k}" for k in range(140)]])) for i in range(30)]
+    pivots, made = near._pivot_pairs, []
+
+    def spy(*args):
+        pairs = pivots(*args).localCheckpoint()
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(near, "_pivot_pairs", spy)
+    none = lambda every: near.stage(every.where("false").select(F.col("s").alias("a"), F.col("s").alias("b")), "none")
+    monkeypatch.setattr(near, "fingerprint_pairs", none)  # they would join the copies first
+    assert kept(near.representatives(docs_of(rows, extra=False))) == brute(rows)
+    assert made and all(a == b for a, b in made)
