@@ -192,3 +192,14 @@ def test_copies_of_many_shingles_meet_their_pivots_once(docs_of, monkeypatch):
     monkeypatch.setattr(near, "fingerprint_pairs", none)  # they would join the copies first
     assert kept(near.representatives(docs_of(rows, extra=False))) == brute(rows)
     assert made and all(a == b for a, b in made)
+
+
+def test_the_counted_sample_changes_no_result(docs_of, monkeypatch):
+    """Whatever the order knows as common, no shingle or a third of them with made-up counts, the same rows stay."""
+    rows = edited(30, 14) + [(200, None), (201, " "), (202, "one two")]
+    every = np.unique(np.concatenate([near.shingles(t or "") for _, t in rows]))
+    want = brute(rows)
+    for common in (every[:0], every[::3]):
+        counts = np.random.default_rng(3).integers(1, 99, len(common))
+        monkeypatch.setattr(near, "common_shingles", lambda docs, words=near.WORDS, c=(common, counts): c)
+        assert kept(near.representatives(docs_of(rows))) == want
